@@ -17,3 +17,23 @@ r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, v.b FROM r JOIN v ON
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, m.c AS component_id, n.doc_id = m.c AS kept
 FROM n JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) m ON m.a = n.doc_id
 """
+
+DECONTAMINATION = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), p AS (
+  SELECT DISTINCT item, size, array_to_string(ws[k:k + size - 1], ' ') AS pattern
+  FROM (SELECT item, ws, least(10, len(ws)) AS size, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS k FROM b WHERE len(ws) > 0)
+), sizes AS (SELECT DISTINCT size FROM p),
+x AS (
+  SELECT doc_id, size, k, array_to_string(ws[k:k + size - 1], ' ') AS pattern
+  FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS k FROM d, sizes)
+), h AS (SELECT x.doc_id, x.k, x.size, p.item FROM x JOIN p ON x.size = p.size AND x.pattern = p.pattern),
+hit AS (SELECT doc_id, count(DISTINCT w) AS n FROM (SELECT doc_id, unnest(range(k, k + size)) AS w FROM h) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(it.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(it.items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
+"""
