@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tallyfold.llm import packing, secrets, sql, toxicity
 from tallyfold.llm.decontam import contamination
 from tallyfold.llm.neardup import near_duplicates
+from tallyfold.llm.shared import Scratch
+from tallyfold.llm.tokenfiles import read_token_files, write_token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "op10").path("files")
+    files, table = write_token_files(_table(spark, sf_dir, "documents"), folder, tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_files(spark, files, table)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -48,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op6_secret_scan": op6_secret_scan,
         "op8_packing": op8_packing,
+        "op10_token_files": op10_token_files,
         "pipeline": corpus_pipeline.run,
     }
 

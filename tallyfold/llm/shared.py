@@ -51,3 +51,22 @@ class Scratch:
 def small_side(df: DataFrame, rows: int, most: int) -> DataFrame:
     """``df`` marked for broadcast if its counted ``rows`` are at most ``most``; else as it is, for a shuffled join."""
     return df.hint("broadcast") if rows <= most else df
+
+
+def open_input(uri: str):
+    """A file of the shared folder for random reads."""
+    fs, path = _filesystem(uri)
+    return fs.open_input_file(path)
+
+
+def open_output(uri: str):
+    """A new file of the shared folder; its folder is made if missing."""
+    fs, path = _filesystem(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    return fs.open_output_stream(path)
+
+
+def _filesystem(uri: str):
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace(":/", ":///", 1))
