@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import packing, secrets, sql, toxicity
+from tallyfold.llm import langid, media, packing, secrets, sql, toxicity
 from tallyfold.llm.decontam import contamination
 from tallyfold.llm.neardup import near_duplicates
 from tallyfold.llm.shared import Scratch
@@ -35,10 +35,22 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans", "items")
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = media.store(_table(spark, sf_dir, "documents"), Scratch(spark, "op5").path("archives"))
+    return media.digests(media.read_members(spark, archives))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(_table(spark, sf_dir, "documents")).drop("text_hash", "found")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    part = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = langid.fit(docs.where((part != 1) & F.col("lang").isNotNull()))
+    return langid.predict(docs, model).select("doc_id", (part == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -54,7 +66,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_minhash_neardup": op2_minhash_neardup,
         "op3_decontamination": op3_decontamination,
+        "op5_media": op5_media,
         "op6_secret_scan": op6_secret_scan,
+        "op7_language_id": op7_language_id,
         "op8_packing": op8_packing,
         "op10_token_files": op10_token_files,
         "pipeline": corpus_pipeline.run,

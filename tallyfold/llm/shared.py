@@ -70,3 +70,12 @@ def _filesystem(uri: str):
     from pyarrow.fs import FileSystem
 
     return FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace(":/", ":///", 1))
+
+
+def list_files(uri: str, end: str) -> list[str]:
+    """Files in a folder of the shared directory whose names end in ``end``, in order, as URIs."""
+    from pyarrow.fs import FileSelector
+
+    fs, path = _filesystem(uri)
+    base = uri[: len(uri) - len(path)] if uri.endswith(path) else ""
+    return sorted(base + f.path for f in fs.get_file_info(FileSelector(path)) if f.path.endswith(end))
