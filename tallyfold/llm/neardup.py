@@ -11,15 +11,17 @@ Method
    without its symbol j". m is the smallest number for which a pair at the
    similarity threshold exceeds 2 m - 1 differing symbols with a probability of
    at most ``miss``.
-3. Linear pass: each class is compared with the first class of each of its
-   buckets; confirmed links give components.
+3. Linear pass: each class is compared with one head of each of its buckets, the
+   first in an order that differs from key to key; confirmed links give components.
 4. Rest: only buckets that still hold several components matter. A class with so
    many shingles found in no other class of those buckets that no partner could
-   reach the threshold is set aside (an exact bound); in what is left, the rows
-   outside a bucket's largest component meet the rows of other components under
-   the signature distance and the same bound. So a group of thousands of near
-   copies costs rows in proportion to its size, and no link between two
-   components is lost.
+   reach the threshold is set aside (an exact bound). In what is left, the rows
+   outside a bucket's largest component meet the rows of other components, block
+   by block of bounded size; a pair leaves its block only if it is within the
+   signature distance and two exact bounds on the common shingles (those found
+   nowhere else, and a bit for each shingle) allow the threshold. So no link
+   between two components is lost, and members of a large group of near copies
+   that are linked already do not meet again.
 
 Rows never meet in one task: buckets are joined by key (skewed keys are split by
 adaptive execution), sums are pre-aggregated, and intermediate tables live in
@@ -49,6 +51,8 @@ from tallyfold.llm.shared import Scratch, small_side
 _SYMBOLS = 4
 #: Tables of at most so many narrow rows may be broadcast.
 BROADCAST_ROWS = 400_000
+#: Rows of a block in which members of one bucket meet.
+MEET = 128
 
 
 def chunk_count(percent: int, miss: float) -> int:
@@ -93,6 +97,32 @@ def _identity(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def _bits(s: np.ndarray) -> bytes:
+    """A bit for each shingle of a set, at its hash modulo the power of two from 4 to 8 times the set's size, 64 at least."""
+    size = max(64, 1 << (4 * max(1, len(s)) - 1).bit_length())
+    out = np.zeros(size, dtype=bool)
+    out[(s & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def most_common(x: list[bytes], nx: np.ndarray, y: list[bytes], ny: np.ndarray) -> np.ndarray:
+    """For pairs of sets given by bits and size: a bound that the number of common shingles never exceeds."""
+    out = np.empty(len(x), dtype=np.int64)
+    sizes = np.array([(len(a), len(b)) for a, b in zip(x, y)], dtype=np.int64).reshape(-1, 2)
+    for la, lb in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes[:, 0] == la) & (sizes[:, 1] == lb))
+        a, b = (np.frombuffer(b"".join([v[i] for i in at]), dtype=np.uint64).reshape(len(at), -1) for v in (x, y))
+        pa_, pb = (np.bitwise_count(v).sum(1).astype(np.int64) for v in (a, b))
+        while a.shape[1] > b.shape[1]:
+            a = a[:, : a.shape[1] // 2] | a[:, a.shape[1] // 2 :]
+        while b.shape[1] > a.shape[1]:
+            b = b[:, : b.shape[1] // 2] | b[:, b.shape[1] // 2 :]
+        # a shared bit stands for one common shingle and those of either set beyond one for each of its bits
+        fa, fb = (np.bitwise_count(v).sum(1).astype(np.int64) for v in (a, b))
+        out[at] = np.bitwise_count(a & b).sum(1).astype(np.int64) + np.minimum(nx[at] - np.minimum(pa_, fa), ny[at] - np.minimum(pb, fb))
+    return out
+
+
 def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
     """(number of sets, m) longs, each of four 16-bit symbols; sets are not empty."""
     k = _SYMBOLS * m
@@ -131,7 +161,8 @@ def _full_sets(size: int) -> Callable:
                 flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
                 offs = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["set_hi", "set_lo", "shingles"]
+                    [pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), pa.array([_bits(s) for s in sets], pa.binary())],
+                    names=["set_hi", "set_lo", "shingles", "bits"],
                 )
 
     return run
@@ -150,10 +181,24 @@ def _distance(a: Column, b: Column, m: int) -> Column:
 
 
 def _keys(classes: DataFrame, m: int) -> DataFrame:
-    """(key, cid): each chunk without one of its symbols, hashed with the numbers of chunk and symbol."""
+    """(t, key, cid): each chunk without one of its symbols, hashed with the number t = 4 chunk + symbol."""
     without = [F.lit(-1 - (0xFFFF << 16 * j) if j < 3 else (1 << 48) - 1).cast("long") for j in range(_SYMBOLS)]
     keys = [F.xxhash64(F.col("sig")[c].bitwiseAND(without[j]), F.lit(c * _SYMBOLS + j)) for c in range(m) for j in range(_SYMBOLS)]
-    return classes.select(F.explode(F.array(*keys)).alias("key"), "cid")
+    return classes.select(F.posexplode(F.array(*keys)).alias("t", "key"), "cid")
+
+
+def _scattered(x: Column) -> Column:
+    """A one-to-one map of longs that spreads the low bits over all."""
+    for _ in range(2):
+        for shift, by in ((F.shiftleft, 13), (F.shiftrightunsigned, 7), (F.shiftleft, 17)):
+            x = x.bitwiseXOR(shift(x, by))
+    return x
+
+
+def _turn(m: int) -> Column:
+    """A constant for each t; the smallest ``cid XOR turn`` is another member of a bucket for each."""
+    values = wh.mix(np.arange(1, _SYMBOLS * m + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)).view(np.int64)
+    return F.array(*[F.lit(int(v)).cast("long") for v in values])[F.col("t")]
 
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -196,19 +241,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = scratch.write(texts.mapInArrow(_sketch(size, m), "doc_id long, set_hi long, set_lo long, n long, sig array<long>"), "sketch")
     classes = sketch.where("n > 0").groupBy("set_hi", "set_lo", "n", "sig").agg(F.min("doc_id").alias("rep"))
-    classes = scratch.write(classes.select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
+    classes = scratch.write(classes.select(_scattered(F.monotonically_increasing_id()).alias("cid"), "*"), "classes")
 
     # buckets that hold more than one class
-    heads = _keys(classes, m).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("cid").alias("head")).where("rows > 1").select("key", "head")
+    turn = _turn(m)
+    heads = _keys(classes, m).groupBy("t", "key").agg(F.count(F.lit(1)).alias("rows"), F.min(F.col("cid").bitwiseXOR(turn)).alias("first")).where("rows > 1")
+    heads = heads.select("t", "key", F.col("first").bitwiseXOR(turn).alias("head"))
     heads = scratch.write(heads, "heads")
-    buckets = scratch.write(_keys(classes, m).join(small_side(heads, heads.count(), BROADCAST_ROWS), "key"), "buckets")
+    buckets = scratch.write(_keys(classes, m).join(small_side(heads, heads.count(), BROADCAST_ROWS), ["t", "key"]), "buckets")
 
     # full sets of the classes in them
     inside = scratch.write(buckets.select("cid").distinct().join(classes, "cid").select("cid", "rep", "set_hi", "set_lo"), "inside")
     wanted = inside.select(F.col("rep").alias("doc_id")).distinct()
     near = texts.alias("t").join(small_side(wanted, inside.count(), BROADCAST_ROWS).alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
-    found = near.select("doc_id", "text").mapInArrow(_full_sets(size), "set_hi long, set_lo long, shingles array<long>")
-    sets = found.join(inside, ["set_hi", "set_lo"]).select("cid", "shingles")
+    found = near.select("doc_id", "text").mapInArrow(_full_sets(size), "set_hi long, set_lo long, shingles array<long>, bits binary")
+    sets = found.join(inside, ["set_hi", "set_lo"]).select("cid", "shingles", "bits")
     sets = scratch.write(sets.dropDuplicates(["cid"]) if _repeated(texts, sketch) else sets, "sets")
 
     info = classes.select("cid", "n", "sig")
@@ -225,21 +272,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comp = components(spark, links, scratch, "first")
 
     # buckets that hold more than one component
-    rows = buckets.select("key", "cid").join(comp.withColumnRenamed("v", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("comp"))
+    rows = buckets.select("t", "key", "cid").join(comp.withColumnRenamed("v", "cid"), "cid", "left").select("t", "key", "cid", F.coalesce("label", "cid").alias("comp"))
     rows = scratch.write(_mixed(rows), "mixed")
     scratch.drop("heads", "buckets")
     open_ = scratch.write(rows.select("cid").distinct(), "open")
     alone = sets.join(open_, "cid", "left_semi").select("cid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("cid")).where("c = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
     kept = open_.join(alone, "cid", "left").join(info, "cid").select("cid", "n", "sig", F.coalesce("alone", F.lit(0)).alias("alone"))
-    kept = scratch.write(kept.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")), "partners")
-    rows = scratch.write(_mixed(rows.join(kept, "cid", "left_semi").select("key", "cid", "comp")), "rest")
-    sizes = rows.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("most")).select("key", F.col("most.comp").alias("main"))
+    kept = kept.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")).join(sets.select("cid", "bits"), "cid")
+    kept = scratch.write(kept, "partners")
+    rows = scratch.write(_mixed(rows.join(kept, "cid", "left_semi").select("t", "key", "cid", "comp")), "rest")
+    sizes = rows.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("most"), F.sum("count").alias("rows")).select("key", "rows", F.col("most.comp").alias("main"))
     full = scratch.write(rows.join(sizes, "key").join(kept, "cid"), "full")
-    a, b = (full.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "comp", "main", "n", "sig", "alone")]) for x in "ab")
-    meet = (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("main_b")) | (F.col("cid_a") < F.col("cid_b")))
-    bound = lambda x, y: 100 * (F.col(f"n_{x}") - F.col(f"alone_{x}")) >= percent * (F.col(f"n_{x}") + F.col(f"alone_{y}"))
-    far = a.where("comp_a != main_a").join(b, (a["key"] == b["key"]) & meet & fit & bound("a", "b") & bound("b", "a") & (_distance(F.col("sig_a"), F.col("sig_b"), m) <= 2 * m - 1))
-    more = scratch.write(_confirmed(far.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct(), sets, percent), "more")
+    others = full.where("comp != main").select("t", "key", "rows", *_MEMBER)
+    pairs = _blocks(others).withColumnRenamed("members", "few").join(_blocks(full), ["t", "key"]).mapInArrow(_meet(m, percent), "a long, b long")
+    more = scratch.write(_confirmed(pairs.distinct(), sets, percent), "more")
     if more.limit(1).count():
         comp = components(spark, links.union(more), scratch, "second")
     scratch.drop("mixed", "rest", "full", "sets")
@@ -253,8 +299,60 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+_MEMBER = ("cid", "comp", "main", "n", "alone", "sig", "bits")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(t, key, members): the rows of each bucket in blocks of about ``MEET`` rows."""
+    block = F.pmod(F.xxhash64("cid"), F.ceil(F.col("rows") / MEET))
+    return rows.groupBy("t", "key", block.alias("block")).agg(F.collect_list(F.struct(*_MEMBER)).alias("members")).drop("block")
+
+
+def _members(column: pa.Array) -> Iterator[dict]:
+    """Each row's list of members as arrays by name."""
+    offs, flat = column.offsets.to_numpy(), column.values
+    arrays = {name: flat.field(name).to_numpy(zero_copy_only=False) for name in ("cid", "comp", "main", "n", "alone")}
+    arrays["sig"] = flat.field("sig").flatten().to_numpy().reshape(len(flat), -1) if len(flat) else np.zeros((0, 1), np.int64)
+    arrays["bits"] = np.array(flat.field("bits").to_pylist(), dtype=object)
+    for lo, hi in zip(offs[:-1] - offs[0], offs[1:] - offs[0]):
+        yield {name: v[lo:hi] for name, v in arrays.items()}
+
+
+def close_pairs(x: dict, y: dict, t: int, m: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): pairs of two blocks of one bucket in different components that may reach the threshold.
+
+    A pair is given in the first bucket it shares only. ``x`` holds rows outside
+    the bucket's main component, ``y`` any rows.
+    """
+    n, k, alone, lone = x["n"][:, None], y["n"], x["alone"][:, None], y["alone"]
+    ok = (x["comp"][:, None] != y["comp"]) & ((y["comp"] == y["main"]) | (x["cid"][:, None] < y["cid"]))
+    ok &= (100 * (n - alone) >= percent * (n + lone)) & (100 * (k - lone) >= percent * (k + alone)) & (100 * np.minimum(n, k) >= percent * np.maximum(n, k))
+    i, j = np.nonzero(ok)
+    if not len(i):
+        return i, j
+    differ = (x["sig"].view(np.uint16)[i] != y["sig"].view(np.uint16)[j]).reshape(len(i), m, _SYMBOLS).sum(2)
+    c, symbol = divmod(t, _SYMBOLS)
+    near = (differ.sum(1) <= 2 * m - 1) & (differ[:, :c] > 1).all(1) & ((differ[:, c] == 1) | (symbol == 0))
+    i, j = i[near], j[near]
+    both = most_common(list(x["bits"][i]), x["n"][i], list(y["bits"][j]), y["n"][j])
+    near = 100 * both >= percent * (x["n"][i] + y["n"][j] - both)
+    return x["cid"][i[near]], y["cid"][j[near]]
+
+
+def _meet(m: int, percent: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for t, x, y in zip(at["t"].to_pylist(), _members(at["few"]), _members(at["members"])):
+                a, b = close_pairs(x, y, t, m, percent)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
 def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows (key, cid, comp) of keys with more than one component."""
+    """The rows of keys with more than one component."""
     several = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
     return rows.join(several, "key", "left_semi")
 
