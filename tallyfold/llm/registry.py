@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import langid, media, packing, secrets, sql, toxicity
+from tallyfold.llm import attribution, langid, licenses, media, packing, secrets, sql, toxicity
 from tallyfold.llm.decontam import contamination
 from tallyfold.llm.neardup import near_duplicates
 from tallyfold.llm.shared import Scratch
@@ -35,6 +35,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans", "items")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.section_tokens(_table(spark, sf_dir, "documents"), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = media.store(_table(spark, sf_dir, "documents"), Scratch(spark, "op5").path("archives"))
     return media.digests(media.read_members(spark, archives))
@@ -55,6 +59,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "op10").path("files")
     files, table = write_token_files(_table(spark, sf_dir, "documents"), folder, tokenizer=public_tokenizers.path("word_bpe_49k.json"))
@@ -66,10 +74,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_minhash_neardup": op2_minhash_neardup,
         "op3_decontamination": op3_decontamination,
+        "op4_token_counts": op4_token_counts,
         "op5_media": op5_media,
         "op6_secret_scan": op6_secret_scan,
         "op7_language_id": op7_language_id,
         "op8_packing": op8_packing,
+        "op9_license_scan": op9_license_scan,
         "op10_token_files": op10_token_files,
         "pipeline": corpus_pipeline.run,
     }
