@@ -2,66 +2,104 @@
 
 Both vocabularies split a text into words before merging bytes, so the ids of a
 text are the ids of its space-separated chunks one after another. A chunk is
-encoded by the library once and remembered; a text in which that does not hold
-(see ``_alone``) is encoded whole. The ids are those of
+encoded by the library once and remembered, letters and a full stop or comma after
+them as the two words that they are; a text in which that does not hold (runs of
+white space, the text of a special token) is encoded whole. The ids are those of
 ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 from functools import cache
 
 import numpy as np
 
 #: Chunks remembered by one Python worker; beyond that the memory starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 _GROUP = 400
 _MARK = "\x01"
+#: One-character ends that both vocabularies split from the letters before.
+_TAILS = (".", ",")
 
 
-def _alone(chunk: str) -> bool:
-    """Whether a chunk may depend on its neighbours: runs of white space, or the text of a special token."""
-    return not chunk or chunk[0].isspace() or "<|" in chunk
+def _stays_letters(c: str) -> bool:
+    """Whether letters are still letters alone after composition and lower-casing."""
+    return unicodedata.normalize("NFC", c).lower().isalpha()
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, by the tokenizer file at ``path``."""
+    """Ids of texts as little-endian unsigned 32-bit bytes, by the tokenizer file at ``path``.
+
+    Two kinds of files are known: byte-level BPE whose words keep the space before
+    them, and BPE with word ends that drops white space.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.keeps_space = "Ġa" in self.tok.get_vocab()
+        vocab = self.tok.get_vocab()
+        self.keeps_space = "Ġa" in vocab
         self.space = " " if self.keeps_space else ""
-        if self.keeps_space:
-            self.starts = np.zeros(max(self.tok.get_vocab().values()) + 1, dtype=bool)
-            self.starts[[i for t, i in self.tok.get_vocab().items() if t.startswith("Ġ")]] = True
-        else:
-            self.mark = self.tok.encode(_MARK, add_special_tokens=False).ids
+        self.edge = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.edge[[i for t, i in vocab.items() if (t.startswith("Ġ") if self.keeps_space else t.endswith("</w>"))]] = True
+        self.mark = self.tok.encode(_MARK, add_special_tokens=False).ids
+        self.tails = dict(zip(_TAILS, self._plain(list(_TAILS))))
         self.known: dict[str, bytes | None] = {}
         self.first: dict[str, bytes | None] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode chunks in groups, one text for each group; where the parts cannot be told apart, one by one."""
-        groups = [new[i : i + _GROUP] for i in range(0, len(new), _GROUP)]
-        joint = " " if self.keeps_space else f" {_MARK} "
+    def _parts(self, ids: np.ndarray, letters: bool) -> list[bytes]:
+        """The ids of a joined group, cut where a chunk starts."""
+        if self.keeps_space:
+            at = np.flatnonzero(self.edge[ids])
+            skip = 0
+        elif letters:
+            at = np.flatnonzero(self.edge[ids]) + 1
+            at = np.concatenate([[0], at[:-1]]) if len(at) else at
+            skip = 0
+        else:
+            at = np.concatenate([[-1], np.flatnonzero(ids == self.mark[0])])
+            skip = 1
+        data, ends = ids.tobytes(), [*at[1:].tolist(), len(ids)]
+        return [data[4 * (i + skip) : 4 * j] for i, j in zip(at.tolist(), ends)]
+
+    def _joined(self, chunks: list[str], letters: bool) -> None:
+        """Encode chunks in groups, one text for each; where the parts cannot be told apart, one by one."""
+        groups = [chunks[i : i + _GROUP] for i in range(0, len(chunks), _GROUP)]
+        joint = " " if self.keeps_space or letters else f" {_MARK} "
         for group, e in zip(groups, self.tok.encode_batch_fast([self.space + joint.join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, dtype="<u4")
-            if self.keeps_space:
-                parts = np.split(ids, np.flatnonzero(self.starts[ids])) if len(ids) else []
-                parts = parts[1:] if parts and not len(parts[0]) else []
-            else:
-                at = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else np.zeros(0, int)
-                parts = [p[k > 0 :] for k, p in enumerate(np.split(ids, at))]
-            if len(parts) == len(group) and not any(_MARK in c for c in group):
-                self.known.update(zip(group, (p.tobytes() for p in parts)))
+            parts = self._parts(np.array(e.ids, dtype="<u4"), letters)
+            if len(parts) != len(group) or not letters and (len(self.mark) != 1 or any(_MARK in c for c in group)):
+                parts = self._plain([self.space + c for c in group])
+            self.known.update(zip(group, parts))
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember the ids of chunks after a space; None for one that may depend on its neighbours."""
+        known, keeps = self.known, self.keeps_space
+        letters, tailed, rest = set(), [], []
+        for c in new:
+            if c.isalpha() and (c.isascii() or keeps or _stays_letters(c)):
+                letters.add(c)
+            elif c[-1:] in _TAILS and c[:-1].isalpha() and (c.isascii() or keeps or _stays_letters(c[:-1])):
+                tailed.append(c)
+            elif "<|" in c or keeps and (not c or c[0].isspace()):
+                known[c] = None  # runs of white space, or the text of a special token
+            elif not c:
+                known[c] = b""
             else:
-                self.known.update(zip(group, self._plain([self.space + c for c in group])))
+                rest.append(c)
+        letters.update(b for b in (c[:-1] for c in tailed) if b not in known)
+        self._joined(list(letters), True)
+        self._joined(rest, False)
+        tails = self.tails
+        for c in tailed:
+            known[c] = known[c[:-1]] + tails[c[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
@@ -69,21 +107,20 @@ class Encoder:
         if len(self.first) > CACHE_WORDS // 10:
             self.first.clear()
         known, first = self.known, self.first
-        chunks = [t.split(" ") for t in texts]
-        new = {c for x in chunks for c in x[1:] if c not in known}
-        for c in [c for c in new if _alone(c)]:
-            known[c] = None
-            new.discard(c)
-        self._learn(sorted(new))
+        chunks = [t.split(" ") if self.keeps_space else t.replace("\n", " ").split(" ") for t in texts]
+        new = set()
+        for x in chunks:
+            new.update(x)
+        self._learn(new.difference(known))
         starts = sorted({x[0] for x in chunks if x[0] not in first})
-        first.update(zip(starts, self._plain(starts)))
-        for c in starts:
-            if "<|" in c or c and (c[0].isspace() or c[-1].isspace()) and not self.keeps_space:
-                first[c] = None
+        for c, ids in zip(starts, self._plain(starts)):
+            first[c] = None if "<|" in c or c and c.isspace() else ids
         out: list[bytes | None] = []
         for x in chunks:
             try:
-                out.append(b"".join([first[x[0]], *map(known.__getitem__, x[1:])]))
+                x[0] = first[x[0]]
+                x[1:] = map(known.__getitem__, x[1:])
+                out.append(b"".join(x))
             except TypeError:  # a chunk that depends on its neighbours
                 out.append(None)
         whole = [i for i, o in enumerate(out) if o is None]
