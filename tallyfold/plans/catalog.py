@@ -1,2 +1,197 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Registered queries over the tables of a data folder, each with DuckDB SQL of the same columns."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyfold.functions.aggregates import AGGREGATES
+from tallyfold.operators.groupby import GroupedFrame, groupby_agg
+from tallyfold.sources.datasets import describe
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _sql(agg: str, kind: str, v: str) -> str:
+    """An aggregate in DuckDB with the same handling of missing values."""
+    x = f"CASE WHEN isnan({v}) THEN NULL ELSE {v} END" if kind == "float" else v
+    nan = "'NaN'::DOUBLE"
+    wrap = lambda e: f"CAST(CASE WHEN {e} >= 9223372036854775808::HUGEINT THEN {e} - 18446744073709551616::HUGEINT ELSE {e} END AS BIGINT)"
+    modulo = lambda e: f"((({e}) % 18446744073709551616::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT)"
+    if agg == "sum":
+        return f"coalesce(sum({x}), 0.0)" if kind == "float" else wrap(modulo(f"coalesce(sum(CAST({x} AS HUGEINT)), 0)"))
+    if agg == "mean":
+        return f"coalesce(avg({x}), {nan})"
+    if agg == "median":
+        return f"coalesce(CAST(median({x}) AS DOUBLE), {nan})"
+    if agg == "prod":
+        if kind == "float":
+            return f"coalesce(product({x}), 1.0)"
+        step = "((a * (b % 4294967296::HUGEINT)) + ((a * (b // 4294967296::HUGEINT)) % 4294967296::HUGEINT) * 4294967296::HUGEINT) % 18446744073709551616::HUGEINT"
+        one = modulo(f"CAST({x} AS HUGEINT)")
+        return wrap(f"list_reduce(list_prepend(1::HUGEINT, list({one})), lambda a, b: {step})")
+    if agg in ("std", "var"):
+        return f"coalesce({'stddev_samp' if agg == 'std' else 'var_samp'}({x}), {nan})"
+    if agg == "count":
+        return f"count({x})"
+    return f"coalesce({agg}({x}), {nan})" if kind == "float" else f"{agg}({x})"
+
+
+@dataclass
+class Query:
+    """One aggregate of one table; ``digits`` rounds it on both sides."""
+
+    table: str
+    keys: list[str]
+    value: str
+    agg: str
+    kind: str
+    columns: dict[str, str] = field(default_factory=dict)
+    options: dict = field(default_factory=dict)
+    digits: int | None = None
+    where: str = ""
+    out: str = "result"
+    sql: str = ""
+    cast: str = ""
+
+    def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _table(spark, sf_dir, self.table)
+        made = [F.expr(e).alias(n) for n, e in self.columns.items()]
+        if made:
+            df = df.select("*", *made)
+        result = groupby_agg(df, self.keys, self.value, self.agg, **self.options)
+        return result.select(*self.keys, *[F.col(c) for c in result.columns if c not in (*self.keys, self.value)], self._rounded(F.col(self.value)).alias(self.out))
+
+    def _rounded(self, c: Column) -> Column:
+        c = c.cast(self.cast) if self.cast else c
+        return c if self.digits is None else F.round(c, self.digits)
+
+    def oracle(self) -> str:
+        keys = ", ".join(self.keys)
+        made = self.sql or _sql(self.agg, self.kind, self.value)
+        if self.digits is not None:
+            made = f"round({made}, {self.digits})"
+        source = f"(SELECT *{''.join(f', {e} AS {n}' for n, e in self.columns.items())} FROM {self.table})"
+        first = f", min({self.options['order_by']}) AS {self.options['keep_first']}" if "keep_first" in self.options else ""
+        return f"SELECT {keys}{first}, {made} AS {self.out} FROM {source} {self.where} GROUP BY {keys}"
+
+
+def _nan_value(column: str) -> dict[str, str]:
+    """A double column with NaN on every third line number and NULL on the fifth."""
+    return {"v": f"CASE WHEN l_linenumber = 3 THEN CAST('NaN' AS DOUBLE) WHEN l_linenumber = 5 THEN NULL ELSE {column} END"}
+
+
+def _built() -> dict[str, Query]:
+    made: dict[str, Query] = {}
+    for agg in AGGREGATES:
+        rounded = 4 if agg in ("mean", "std", "var") else None
+        single = ["l_orderkey"] if agg == "prod" else ["l_suppkey"]
+        multi = ["l_orderkey", "l_linenumber"] if agg == "prod" else ["l_suppkey", "l_linenumber"]
+        number = {"n": "CAST(l_partkey AS BIGINT)"}
+        for shape, keys in (("single", single), ("multi", multi)):
+            made[f"{agg}_f64_{shape}_sorted"] = Query("lineitem", keys, "l_quantity", agg, "float", digits=rounded)
+            made[f"{agg}_i64_{shape}_sorted"] = Query("lineitem", keys, "n", agg, "int", number, digits=rounded)
+            made[f"{agg}_f64_{shape}_unordered"] = Query("lineitem", keys, "l_quantity", agg, "float", options={"sort": None}, digits=rounded)
+            made[f"{agg}_i64_{shape}_unordered"] = Query("lineitem", keys, "n", agg, "int", number, {"sort": None}, rounded)
+        made[f"nan_{agg}_f64"] = Query("lineitem", ["l_orderkey"], "v", agg, "float", _nan_value("l_quantity"), digits=rounded)
+        first = {"sort": False, "order_by": "event_id", "keep_first": "first_seen"}
+        cents = {"x": "CAST(round(value) AS DOUBLE)", "k": "CAST(round(value) AS BIGINT)"}
+        exact = 3 if agg in ("mean", "std", "var") else None
+        if agg != "prod":
+            made[f"firstseen_{agg}_f64_single"] = Query("events", ["user_id"], "x", agg, "float", cents, first, exact)
+            made[f"firstseen_{agg}_f64_multi"] = Query("events", ["user_id", "event_type"], "x", agg, "float", cents, first, exact)
+        made[f"firstseen_{agg}_i64_single"] = Query("events", ["user_id"], "k", agg, "int", cents, first, exact)
+        made[f"firstseen_{agg}_i64_multi"] = Query("events", ["user_id", "event_type"], "k", agg, "int", cents, first, exact)
+    order = {"sort": False, "order_by": "event_id", "keep_first": "first_seen"}
+    made["firstseen_prod_f64_single"] = Query("events", ["user_id"], "x", "prod", "float", {"x": "CASE WHEN event_id % 2 = 0 THEN CAST(2.0 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END"}, order, sql="coalesce(product(x), 1.0)")
+    made["keys3_sum"] = Query("lineitem", ["l_returnflag", "l_linestatus", "l_linenumber"], "l_quantity", "sum", "float")
+    made["keys5_sum"] = Query("lineitem", ["a", "b", "c", "d", "e"], "l_quantity", "sum", "float", {n: f"l_suppkey % {m}" for n, m in zip("abcde", (2, 3, 5, 7, 11))})
+    made["keys10_sum"] = Query("lineitem", [f"k{i}" for i in range(10)], "l_quantity", "sum", "float", {f"k{i}": f"l_partkey % {i + 2}" for i in range(10)})
+    made["string_key_mean"] = Query("lineitem", ["l_returnflag"], "l_quantity", "mean", "float", digits=4)
+    made["string_value_min"] = Query("orders", ["o_custkey"], "o_orderpriority", "min", "string")
+    made["string_value_max"] = Query("orders", ["o_custkey"], "o_orderpriority", "max", "string")
+    made["string_value_count"] = Query("orders", ["o_custkey"], "o_orderpriority", "count", "string")
+    made["string_value_concat"] = Query("events", ["user_id"], "event_type", "sum", "string", options={"order_by": "event_id"}, sql="string_agg(event_type, '' ORDER BY event_id)")
+    made["float_key_count"] = Query("lineitem", ["l_discount"], "l_quantity", "count", "float")
+    made["bool_value_sum"] = Query("lineitem", ["l_suppkey"], "b", "sum", "int", {"b": "l_quantity > 25"}, sql="CAST(sum(CASE WHEN b THEN 1 ELSE 0 END) AS BIGINT)")
+    made["bool_value_max"] = Query("lineitem", ["l_suppkey"], "b", "max", "bool", {"b": "l_quantity > 49"}, sql="bool_or(b)")
+    made["time_value_min"] = Query("events", ["user_id"], "ts", "min", "time")
+    made["time_value_max"] = Query("events", ["user_id"], "ts", "max", "time")
+    made["uint64_sum"] = Query("lineitem", ["l_suppkey"], "u", "sum", "decimal", {"u": "CAST(l_partkey AS DECIMAL(20,0))"}, sql="CAST(sum(u) AS BIGINT)", cast="bigint")
+    made["dropna_key"] = Query("lineitem", ["k"], "l_quantity", "sum", "float", {"k": "CASE WHEN l_linenumber = 2 THEN NULL ELSE l_suppkey END"}, where="WHERE k IS NOT NULL")
+    made["keepna_key"] = Query("lineitem", ["k"], "l_quantity", "sum", "float", {"k": "CASE WHEN l_linenumber = 2 THEN NULL ELSE l_suppkey END"}, {"dropna": False})
+    present = "CASE WHEN isnan(v) THEN NULL ELSE v END"
+    made["min_count_sum"] = Query("lineitem", ["l_orderkey"], "v", "sum", "float", _nan_value("l_quantity"), {"min_count": 2}, sql=f"CASE WHEN count({present}) >= 2 THEN sum({present}) ELSE 'NaN'::DOUBLE END")
+    made["min_count_prod"] = Query("lineitem", ["l_orderkey"], "v", "prod", "float", _nan_value("l_quantity"), {"min_count": 2}, sql=f"CASE WHEN count({present}) >= 2 THEN product({present}) ELSE 'NaN'::DOUBLE END")
+    made["ddof0_var"] = Query("lineitem", ["l_orderkey"], "l_quantity", "var", "float", options={"ddof": 0}, digits=4, sql="var_pop(l_quantity)")
+    made["ddof2_std"] = Query("lineitem", ["l_orderkey"], "l_quantity", "std", "float", options={"ddof": 2}, digits=4, sql="CASE WHEN count(*) > 2 THEN sqrt(var_pop(l_quantity) * count(*) / (count(*) - 2)) ELSE 'NaN'::DOUBLE END")
+    made["noskip_sum"] = Query("lineitem", ["l_orderkey"], "v", "sum", "float", _nan_value("l_quantity"), {"skipna": False}, sql="CASE WHEN bool_or(v IS NULL OR isnan(v)) THEN 'NaN'::DOUBLE ELSE sum(v) END")
+    big = {"w": "CAST(4611686018427387904 AS BIGINT) + l_partkey"}
+    made["wrap_sum"] = Query("lineitem", ["l_suppkey"], "w", "sum", "int", big)
+    made["wrap_prod"] = Query("lineitem", ["l_orderkey"], "w", "prod", "int", {"w": "CAST(l_partkey AS BIGINT) * 1000003 - 77"})
+    made["strict_median_overflow"] = Query("lineitem", ["l_orderkey"], "h", "median", "float", {"h": "CASE WHEN l_linenumber % 2 = 0 THEN -1.0e308 ELSE 1.0e308 END"}, sql="CASE WHEN count(*) % 2 = 1 THEN median(h) ELSE (list_sort(list(h))[count(*) // 2] + list_sort(list(h))[count(*) // 2 + 1]) / 2.0 END")
+    made["median_by_rank"] = Query("lineitem", ["l_suppkey"], "l_extendedprice", "median", "float", options={"max_group_rows": 0}, digits=4)
+    made["strict_order_sum"] = Query("events", ["user_id"], "value", "sum", "float", options={"strict_order": True, "order_by": "event_id"}, sql="list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY event_id)), lambda a, b: a + b)")
+    made["strict_order_prod"] = Query("events", ["user_id"], "f", "prod", "float", {"f": "1.0 + value / 1000000.0"}, {"strict_order": True, "order_by": "event_id"}, sql="list_reduce(list_prepend(1.0::DOUBLE, list(f ORDER BY event_id)), lambda a, b: a * b)")
+    return made
+
+
+def _several(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = GroupedFrame(_table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"])
+    return frame.agg({"l_quantity": ["sum", "min", "max", "count", "median"], "l_discount": ["min", "max"]})
+
+
+def _transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_custkey").alias("one"))
+    return GroupedFrame(df, "o_custkey")["one"].transform("count").select("o_orderkey", F.col("one_count").alias("n"))
+
+
+def _ngroups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return GroupedFrame(_table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_linenumber"]).size()
+
+
+def _dataset_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe(_table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_linenumber"]).withColumn("group_ratio", F.round("group_ratio", 6))
+
+
+def _firstseen_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-seen order from the place in the source file, shown as the rank of each group."""
+    from pyspark.sql import Window
+
+    df = _table(spark, sf_dir, "lineitem")
+    out = groupby_agg(df, "l_suppkey", "l_quantity", "sum", sort=False, keep_first="seen")
+    return out.select("l_suppkey", F.row_number().over(Window.orderBy("seen")).cast("long").alias("place"), F.col("l_quantity").alias("result"))
+
+
+_OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "several_aggregates": (
+        _several,
+        "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS l_quantity_sum, min(l_quantity) AS l_quantity_min, max(l_quantity) AS l_quantity_max, count(l_quantity) AS l_quantity_count, "
+        "median(l_quantity) AS l_quantity_median, min(l_discount) AS l_discount_min, max(l_discount) AS l_discount_max FROM lineitem GROUP BY 1, 2",
+    ),
+    "transform_count": (_transform, "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders"),
+    "group_sizes": (_ngroups, "SELECT l_suppkey, l_linenumber, count(*) AS size FROM lineitem GROUP BY 1, 2"),
+    "dataset_info": (
+        _dataset_info,
+        "SELECT count(*) AS n_rows, count(DISTINCT l_suppkey) AS card_l_suppkey, count(DISTINCT l_linenumber) AS card_l_linenumber, count(DISTINCT (l_suppkey, l_linenumber)) AS n_groups, "
+        "round(count(DISTINCT (l_suppkey, l_linenumber)) / count(*), 6) AS group_ratio FROM lineitem",
+    ),
+    "firstseen_file_order": (
+        _firstseen_files,
+        "SELECT l_suppkey, row_number() OVER (ORDER BY first) AS place, q AS result FROM (SELECT l_suppkey, min(r) AS first, sum(l_quantity) AS q FROM "
+        "(SELECT *, row_number() OVER () AS r FROM lineitem) GROUP BY 1)",
+    ),
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n: q.run for n, q in _built().items()} | {n: f for n, (f, _) in _OTHERS.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {n: q.oracle() for n, q in _built().items()} | {n: s for n, (_, s) in _OTHERS.items()}

@@ -1 +1 @@
-
+"""Inputs and outputs at the edge of Spark."""
