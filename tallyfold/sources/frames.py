@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_UNSIGNED = {"uint8": "short", "uint16": "int", "uint32": "long", "uint64": "decimal(20,0)"}
+#: pandas types by name and what they become; unsigned integers take the next wider type.
+_TYPES = {"uint8": "short", "uint16": "int", "uint32": "long", "uint64": "decimal(20,0)", "int8": "byte", "int16": "short", "int32": "int", "float32": "float"}
 
 
 def from_pandas(spark: SparkSession, pdf: pd.DataFrame, *, row: str | None = "rid") -> DataFrame:
     """A Spark frame of a pandas frame; ``row`` names a column for the place of each row. Unsigned integers become the next wider signed type, missing extension values NULL."""
     if row is not None:
         pdf = pdf.assign(**{row: np.arange(len(pdf), dtype=np.int64)})
-    casts = {c: _UNSIGNED[str(t).lower()] for c, t in pdf.dtypes.items() if str(t).lower() in _UNSIGNED}
+    casts = {c: _TYPES[str(t).lower()] for c, t in pdf.dtypes.items() if str(t).lower() in _TYPES}
     plain = pdf.copy()
     for c, t in pdf.dtypes.items():
         if str(t).lower() == "uint64":
