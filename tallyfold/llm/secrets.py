@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import accumulate
@@ -106,8 +107,12 @@ def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     kinds = F.array(*[F.lit(k) for k in KINDS])
     spans = F.array_join(F.transform("found", lambda c: F.concat_ws(":", kinds[c["k"]], c["s"], c["e"])), ",")
     count = lambda test: F.size(F.filter("found", test)).cast("long")
+
+    def of_kind(k: int) -> Callable:
+        return lambda c: c["k"] == k
+
     return some.select(
-        "doc_id", *[count(lambda c, k=k: c["k"] == k).alias(f"n_{KINDS[k]}") for k in range(3)], "base_sha256", spans.alias("spans"), count(lambda c: c["live"]).alias("n_live"), count(lambda c: ~c["live"]).alias("n_example"), "text_hash", "found"
+        "doc_id", *[count(of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)], "base_sha256", spans.alias("spans"), count(lambda c: c["live"]).alias("n_live"), count(lambda c: ~c["live"]).alias("n_example"), "text_hash", "found"
     )
 
 
@@ -134,9 +139,10 @@ def _redact(texts_at: int, found_at: int) -> Callable:
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with every reported span replaced by ``[SECRET]``, or ``[EXAMPLE_SECRET]`` for widely copied values; overlapping spans become one."""
     scratch = Scratch(docs.sparkSession, "redact")
+    own = [f"_{uuid.uuid4().hex[:12]}_{c}" for c in ("id", "hash", "found")]
     hits = secrets(docs, id_col=id_col, text_col=text_col, **options).where(F.size("found") > 0)
-    hits = hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("found").alias("_found"))
-    hits = scratch.write(hits.dropDuplicates(["_id", "_hash"]), "hits")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_hash"))
-    joined = docs.join(small_side(hits, hits.count(), BROADCAST_ROWS // 4), same, "left").select(*[docs[c] for c in docs.columns], "_found")
+    hits = hits.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "text_hash", "found"), own)])
+    hits = scratch.write(hits.dropDuplicates(own[:2]), "hits")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(own[0])) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(own[1]))
+    joined = docs.join(small_side(hits, hits.count(), BROADCAST_ROWS // 4), same, "left").select(*docs.columns, own[2])
     return joined.mapInArrow(_redact(docs.columns.index(text_col), len(docs.columns)), docs.schema)
