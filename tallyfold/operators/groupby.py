@@ -18,6 +18,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,10 +35,12 @@ def _order_column(df: DataFrame, order_by: str | Column | None) -> Column:
     """What says which row came first: a given column, or the place in the files that ``df`` was read from."""
     if order_by is not None:
         return F.col(order_by) if isinstance(order_by, str) else order_by
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
     try:
-        return df.select(F.struct("_metadata.file_path", "_metadata.row_index")).columns and F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    except Exception as e:
+        df.select(place)
+    except AnalysisException as e:
         raise ValueError("rows have no order here: name a column in order_by") from e
+    return place
 
 
 def _with_keys(df: DataFrame, keys: list[str], dropna: bool) -> DataFrame:
@@ -46,32 +49,32 @@ def _with_keys(df: DataFrame, keys: list[str], dropna: bool) -> DataFrame:
 
 def _largest(df: DataFrame, keys: list[str]) -> int:
     """Rows of the largest group."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
 
 
 def _middle_by_rank(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, value): medians of any group size, from counts of (key, value) dealt out by range."""
-    counts = rows.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    parts = counts.repartitionByRange(*keys, "value").withColumn("part", F.spark_partition_id())
-    parts = parts.select(*keys, "part", "value", "n")
+    counts = rows.where(F.col("_value").isNotNull()).groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    parts = counts.repartitionByRange(*keys, "_value").withColumn("_part", F.spark_partition_id())
+    parts = parts.select(*keys, "_part", "_value", "_n")
     spark = rows.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tallyfold-"))
     parts = parts.checkpoint()
-    sums = parts.groupBy(*keys, "part").agg(F.sum("n").alias("here"))
-    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "part", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("before"))
-    total = parts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    inside = Window.partitionBy(*keys, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = parts.withColumn("to", F.sum("n").over(inside)).join(sums, [*keys, "part"]).join(total, keys)
-    end = F.col("before") + F.col("to")
-    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    holds = lambda rank: (end - F.col("n") <= rank) & (rank < end)
-    value = F.col("value").cast("double")
-    two = ranked.groupBy(*keys).agg(F.max(F.when(holds(low), value)).alias("lo"), F.max(F.when(holds(high), value)).alias("hi"), F.max("total").alias("total"))
-    return two.select(*keys, F.when(F.col("total") % 2 == 1, F.col("lo")).otherwise((F.col("lo") + F.col("hi")) / 2.0).alias("value"))
+    sums = parts.groupBy(*keys, "_part").agg(F.sum("_n").alias("_here"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_part", F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_before"))
+    total = parts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = parts.withColumn("_to", F.sum("_n").over(inside)).join(sums, [*keys, "_part"]).join(total, keys)
+    end = F.col("_before") + F.col("_to")
+    low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
+    holds = lambda rank: (end - F.col("_n") <= rank) & (rank < end)
+    value = F.col("_value").cast("double")
+    two = ranked.groupBy(*keys).agg(F.max(F.when(holds(low), value)).alias("_lo"), F.max(F.when(holds(high), value)).alias("_hi"), F.max("_total").alias("_total"))
+    return two.select(*keys, F.when(F.col("_total") % 2 == 1, F.col("_lo")).otherwise((F.col("_lo") + F.col("_hi")) / 2.0).alias("_value"))
 
 
 def _wrapped_products(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,28 +84,28 @@ def _wrapped_products(rows: DataFrame, keys: list[str]) -> DataFrame:
         held: list[pd.DataFrame] = []
         size = 0
         for f in frames:
-            f = f.assign(value=f["value"].fillna(1).astype(np.int64))
-            held.append(f.groupby(keys, sort=False, dropna=False, as_index=False)["value"].prod())
+            f = f.assign(_value=f["_value"].fillna(1).astype(np.int64))
+            held.append(f.groupby(keys, sort=False, dropna=False, as_index=False)["_value"].prod())
             size += len(held[-1])
             if size > 500_000:
-                merged = pd.concat(held).groupby(keys, sort=False, dropna=False, as_index=False)["value"].prod()
+                merged = pd.concat(held).groupby(keys, sort=False, dropna=False, as_index=False)["_value"].prod()
                 if len(merged) > 250_000:
                     yield merged
                     merged = merged.iloc[:0]
                 held, size = [merged], len(merged)
         if held:
-            yield pd.concat(held).groupby(keys, sort=False, dropna=False, as_index=False)["value"].prod()
+            yield pd.concat(held).groupby(keys, sort=False, dropna=False, as_index=False)["_value"].prod()
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for f in frames:
             total = f if total is None else pd.concat([total, f])
-            total = total.groupby(keys, sort=False, dropna=False, as_index=False)["value"].prod()
+            total = total.groupby(keys, sort=False, dropna=False, as_index=False)["_value"].prod()
         if total is not None:
             yield total
 
-    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("value", T.LongType())])
-    rows = rows.withColumn("value", F.coalesce("value", F.lit(1).cast("long")))
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("_value", T.LongType())])
+    rows = rows.withColumn("_value", F.coalesce("_value", F.lit(1).cast("long")))
     return rows.mapInPandas(multiply, schema).repartition(*keys).mapInPandas(finish, schema)
 
 
@@ -180,7 +183,7 @@ def _joined(rows, keys, c, x, kind, opt, agg, extra, made, build) -> DataFrame:
     """One aggregation if ``made`` says how, else a plan of its own joined to the groups, which are never lost."""
     if made is not None:
         return rows.groupBy(*keys).agg(A.guarded(agg, made, c, x, kind, opt).alias("_out"), *extra)
-    values = build(rows.select(*keys, x.alias("value")), keys).withColumnRenamed("value", "_value")
+    values = build(rows.select(*keys, x.alias("_value")), keys)
     guard = A.guarded(agg, F.lit(True), c, x, "other", opt)
     groups = rows.groupBy(*keys).agg(F.coalesce(guard, F.lit(False)).alias("_ok"), *extra)
     same = [groups[k].eqNullSafe(values[k]) for k in keys]

@@ -263,3 +263,12 @@ def test_row_order_of_files(spark, sf_dir, tmp_path):
     df.limit(500).repartition(3).write.parquet(str(tmp_path / "parts"))
     many = spark.read.parquet(str(tmp_path / "parts"))
     assert groupby_agg(many, "l_suppkey", "l_quantity", "count", sort=False).count() == many.select("l_suppkey").distinct().count()
+
+
+def test_key_names_may_be_those_used_inside(spark):
+    pdf = pd.DataFrame({"value": [1, 1, 2, 2], "n": [1, 1, 1, 1], "part": [0, 0, 0, 0], "v": [3, 5, 7, 9]})
+    df = from_pandas(spark, pdf)
+    keys = ["value", "n", "part"]
+    for agg, limit in (("prod", 10), ("median", 10), ("median", 0), ("sum", 10)):
+        got = to_series(groupby_agg(df, keys, "v", agg, max_group_rows=limit), "v")
+        pd.testing.assert_series_equal(got, expected(pdf, keys, "v", agg))

@@ -66,3 +66,11 @@ def test_queries_equal_oracle(spark, sf_dir, name):
     assert columns == sorted(want.columns)
     text = lambda df: sorted(map(str, df[columns].astype(object).itertuples(index=False, name=None)))
     assert text(got) == text(want)
+
+
+def test_row_order_column(spark, sf_dir):
+    from tallyfold.sources.rowid import with_row_order
+
+    df = with_row_order(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    keys = [r.o_orderkey for r in df.repartition(5).orderBy("row_order").select("o_orderkey").collect()]
+    assert keys == [r.o_orderkey for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").collect()]
