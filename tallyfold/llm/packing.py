@@ -128,7 +128,8 @@ class Packer:
 def _pack(tokenizer: str, end_id: int, capacity: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 36
-        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        enc = encoder(tokenizer)
+        end = np.array([end_id], dtype=enc.kind).tobytes()
         rows: list[tuple] = []
         count = 0
 
@@ -150,7 +151,7 @@ def _pack(tokenizer: str, end_id: int, capacity: int) -> Callable:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
             for lo, hi in text_slices(texts):
                 for doc_id, got in zip(ids[lo:hi], enc.encode(texts[lo:hi])):
-                    packer.add(doc_id, np.frombuffer(got + end, dtype="<u4"))
+                    packer.add(doc_id, np.frombuffer(got + end, dtype=enc.kind).astype("<u4"))
                 if len(rows) > 20_000:
                     yield flush()
         packer.close()

@@ -46,10 +46,13 @@ class Table:
         self.freq = freq.astype(np.uint64)
         self.cum = (np.cumsum(freq) - freq).astype(np.uint64)
         self.slot = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+        self.place = np.full(int(self.symbols.max(initial=0)) + 1, -1, dtype=np.int32)
+        self.place[self.symbols] = np.arange(len(freq))
 
     def index(self, ids: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.symbols, ids)
-        if len(ids) and (at.max(initial=0) >= len(self.symbols) or (self.symbols[at] != ids).any()):
+        """Place of each id in the table."""
+        at = self.place[np.minimum(ids, len(self.place) - 1)]
+        if len(ids) and (ids.max() >= len(self.place) or at.min() < 0):
             raise ValueError("a token is missing from the frequency table")
         return at
 
@@ -60,7 +63,7 @@ def encode_blocks(ids: np.ndarray, table: Table) -> list[tuple[bytes, int, int,
     for lo in range(0, len(ids), BLOCK * GROUP):
         part = ids[lo : lo + BLOCK * GROUP].astype("<u4")
         n = -(-len(part) // BLOCK)
-        at = np.zeros(n * BLOCK, dtype=np.int64)
+        at = np.zeros(n * BLOCK, dtype=np.int32)
         at[: len(part)] = table.index(part)
         at = at.reshape(n, BLOCK // LANES, LANES)
         steps = at.shape[1] if n > 1 else -(-len(part) // LANES)

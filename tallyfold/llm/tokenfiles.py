@@ -1,8 +1,8 @@
 """Token ids of documents as files of rANS blocks in ascending order of id, and back.
 
-Steps: texts are encoded once and kept as a table in the shared folder; token counts
-over all of it give one frequency table (at most one entry per vocabulary item on
-the driver); documents are dealt out by ranges of (id, hash of the ids), sorted
+Steps: texts are encoded once and kept as a table in the shared folder, with a row of
+token counts from each task; these give one frequency table (at most one entry per
+vocabulary item on the driver); documents are dealt out by ranges of (id, hash of the ids), sorted
 within a range, and each range becomes one file. The list of files that successful
 tasks wrote is a table too, so files of lost attempts are never read. Reading is one
 task a file: the blocks are verified and decoded, ``start`` continues from the files before.
@@ -32,15 +32,23 @@ FILE_TOKENS = 4 << 20
 OUT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+#: ``n`` of the row that holds a task's token counts.
+_COUNTS = -1
+
+
 def _encode(tokenizer: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc = encoder(tokenizer)
+        end, size = np.array([end_id], enc.kind).tobytes(), enc.kind.itemsize
+        total = np.zeros(max(len(enc.edge), end_id + 1), np.int64)
+        names = ["doc_id", "n", "ids"]
         for batch in batches:
             texts = batch.column(1).fill_null("").to_pylist()
             for lo, hi in text_slices(texts):
-                ids = [np.frombuffer(x + end, "<u4") for x in enc.encode(texts[lo:hi])]
-                packed = [(x.astype("<u2") if x.max() < 65536 else x).tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "ids"])
+                ids = [x + end for x in enc.encode(texts[lo:hi])]
+                total += np.bincount(np.frombuffer(b"".join(ids), enc.kind), minlength=len(total))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(x) // size for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([_COUNTS], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
     return run
 
@@ -50,15 +58,12 @@ def _unpacked(n: int, data: bytes) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
+    total: np.ndarray | int = 0
     for batch in batches:
-        for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            got = np.bincount(_unpacked(n, data))
-            if len(got) > len(total):
-                total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-            total[: len(got)] += got
+        for data in batch.column(0).to_pylist():
+            total = total + np.frombuffer(data, "<i8")
     at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "count"])
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at] if len(at) else at)], names=["id", "count"])
 
 
 def _write(folder: str, table: Broadcast) -> Callable:
@@ -98,11 +103,11 @@ def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str, end_id: i
     scratch = Scratch(spark, "tokenfiles")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ids = scratch.write(texts.mapInArrow(_encode(tokenizer, end_id), "doc_id long, n long, ids binary"), "ids")
-    counts = ids.select("n", "ids").mapInArrow(_count, "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).collect()
+    counts = ids.where(F.col("n") == _COUNTS).select("ids").mapInArrow(_count, "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).collect()
     table = Table(np.array([r.id for r in counts], np.uint32), np.array([r["count"] for r in counts], np.int64))
     held = spark.sparkContext.broadcast(table)
     files = max(1, -(-sum(r["count"] for r in counts) // file_tokens))
-    order = ids.withColumn("h", F.xxhash64("ids")).repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "n", "ids")
+    order = ids.where("n > 0").withColumn("h", F.xxhash64("ids")).repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "n", "ids")
     return scratch.write(order.mapInArrow(_write(folder, held), "part long, uri string, tokens long"), "files"), table
 
 

@@ -13,11 +13,12 @@ from __future__ import annotations
 import os
 import unicodedata
 from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 
 #: Chunks remembered by one Python worker; beyond that the memory starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_200_000
 _GROUP = 400
 _MARK = "\x01"
 #: One-character ends that both vocabularies split from the letters before.
@@ -30,7 +31,7 @@ def _stays_letters(c: str) -> bool:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, by the tokenizer file at ``path``.
+    """Ids of texts as bytes of ``kind`` (little-endian, 16 bits for a vocabulary of up to 65536, else 32), by the tokenizer file at ``path``.
 
     Two kinds of files are known: byte-level BPE whose words keep the space before
     them, and BPE with word ends that drops white space.
@@ -45,6 +46,7 @@ class Encoder:
         self.keeps_space = "Ġa" in vocab
         self.space = " " if self.keeps_space else ""
         self.edge = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.kind = np.dtype("<u2" if len(self.edge) <= 65536 else "<u4")
         self.edge[[i for t, i in vocab.items() if (t.startswith("Ġ") if self.keeps_space else t.endswith("</w>"))]] = True
         self.mark = self.tok.encode(_MARK, add_special_tokens=False).ids
         self.tails = dict(zip(_TAILS, self._plain(list(_TAILS))))
@@ -52,7 +54,7 @@ class Encoder:
         self.first: dict[str, bytes | None] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _parts(self, ids: np.ndarray, letters: bool) -> list[bytes]:
         """The ids of a joined group, cut where a chunk starts."""
@@ -66,8 +68,8 @@ class Encoder:
         else:
             at = np.concatenate([[-1], np.flatnonzero(ids == self.mark[0])])
             skip = 1
-        data, ends = ids.tobytes(), [*at[1:].tolist(), len(ids)]
-        return [data[4 * (i + skip) : 4 * j] for i, j in zip(at.tolist(), ends)]
+        data, ends, size = ids.astype(self.kind).tobytes(), [*at[1:].tolist(), len(ids)], self.kind.itemsize
+        return [data[size * (i + skip) : size * j] for i, j in zip(at.tolist(), ends)]
 
     def _joined(self, chunks: list[str], letters: bool) -> None:
         """Encode chunks in groups, one text for each; where the parts cannot be told apart, one by one."""
@@ -101,17 +103,22 @@ class Encoder:
         for c in tailed:
             known[c] = known[c[:-1]] + tails[c[-1]]
 
+    def _chunks(self, text: str) -> list[str]:
+        if self.keeps_space:
+            return text.split(" ")
+        return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         if len(self.first) > CACHE_WORDS // 10:
             self.first.clear()
         known, first = self.known, self.first
-        chunks = [t.split(" ") if self.keeps_space else t.replace("\n", " ").split(" ") for t in texts]
-        new = set()
+        chunks = [self._chunks(t) for t in texts]
+        new: set[str] = set()
         for x in chunks:
-            new.update(x)
-        self._learn(new.difference(known))
+            new.update(filterfalse(known.__contains__, x))
+        self._learn(new)
         starts = sorted({x[0] for x in chunks if x[0] not in first})
         for c, ids in zip(starts, self._plain(starts)):
             first[c] = None if "<|" in c or c and c.isspace() else ids
