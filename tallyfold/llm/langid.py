@@ -21,9 +21,10 @@ nothing. Other columns are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.shared import Scratch
 from tallyfold.llm.tokens import text_slices
+from tallyfold.llm.wordhash import mix
 
 WORDS = 60_000
 GRAMS = 60_000
@@ -55,43 +57,64 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
-def _counted(rows: Iterator[tuple[tuple[str, str], int]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of (language, term)."""
-    held: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        keys = list(held)
-        batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array(list(held.values()), pa.int64())], names=names)
-        held.clear()
-        return batch
-
-    for key, n in rows:
-        held[key] += n
-        if len(held) > HELD:
-            yield out()
-    if held:
-        yield out()
+_NAMES = ["lang", "term", "n"]
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[tuple[tuple[str, str], int]]:
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w, n in Counter(words(text)).items():
-                    yield (lang, w), n
+    held: dict[str, Counter] = defaultdict(Counter)
 
-    return _counted(rows(), ["lang", "term", "n"])
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, counts in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts)), pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=_NAMES)
+        held.clear()
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held[lang].update(words(text))
+        if sum(map(len, held.values())) > HELD:
+            yield from out()
+    yield from out()
+
+
+def gram_counts(found: list[str], n: np.ndarray) -> Iterator[tuple[list[str], np.ndarray]]:
+    """(order and n-gram, count) of words that occur ``n`` times, for each order."""
+    text = f"_{'_'.join(found)}_"
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    edge = codes == ord("_")
+    of = np.minimum(np.cumsum(edge) - 1, len(found) - 1)  # the word that starts at or holds a place
+    for k in range(1, LONGEST + 1):
+        size = len(codes) - k + 1
+        if size <= 0:
+            return
+        whole = ~edge[:size] if k == 1 else np.ones(size, bool)
+        for j in range(1, k - 1):
+            whole &= ~edge[j : j + size]
+        if k == 2:
+            whole &= ~(edge[:size] & edge[1 : 1 + size])
+        at = np.flatnonzero(whole)
+        h = np.zeros(len(at), np.uint64)
+        for j in range(k):
+            h = mix(h + codes[at + j])
+        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        yield [f"{k}{text[i : i + k]}" for i in at[first].tolist()], np.bincount(inverse, n[of[at]]).astype(np.int64)
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[tuple[tuple[str, str], int]]:
-        for batch in batches:
-            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                for k in range(1, LONGEST + 1):
-                    for g in grams(word, k):
-                        yield (lang, f"{k}{g}"), n
+    held: dict[str, tuple[list[str], list[int]]] = defaultdict(lambda: ([], []))
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, (found, n) in held.items():
+            for terms, counts in gram_counts(found, np.array(n)):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms)), pa.array(terms, pa.string()), pa.array(counts)], names=_NAMES)
+        held.clear()
 
-    return _counted(rows(), ["lang", "term", "n"])
+    for batch in batches:
+        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            held[lang][0].append(word)
+            held[lang][1].append(n)
+        if sum(len(x) for x, _ in held.values()) > HELD // 4:
+            yield from out()
+    yield from out()
 
 
 def _frequent(counts: DataFrame, most: int) -> list[tuple[str, str, int]]:
@@ -112,7 +135,7 @@ def _frequent(counts: DataFrame, most: int) -> list[tuple[str, str, int]]:
 def _logs(rows: list[tuple[str, str, int]], langs: list[str], totals: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
     """Index of terms, and log frequencies (terms, languages) with half a count added to each."""
     at = {t: i for i, t in enumerate(sorted({r[1] for r in rows}))}
-    counts, col = np.zeros((len(at), len(langs))), {x: i for i, x in enumerate(langs)}
+    counts, col = np.zeros((len(at), len(langs)), dtype=float), {x: i for i, x in enumerate(langs)}
     for lang, term, n in rows:
         counts[at[term], col[lang]] += n
     return at, np.log((counts + 0.5) / (totals + 0.5 * (len(at) + 1)))
@@ -125,40 +148,57 @@ class Model:
     word_log: np.ndarray
     gram_at: dict[str, int]
     gram_log: np.ndarray
-    seen: dict[str, int] = field(default_factory=dict)
-    extra: list[np.ndarray] = field(default_factory=list)
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Scores of a word that is not known."""
-        for k in range(LONGEST, 0, -1):
-            known = [i for i in (self.gram_at.get(f"{k}{g}") for g in grams(word, k)) if i is not None]
-            if known:
-                return self.gram_log[known].sum(0)
-        return np.zeros(len(self.langs))
+    def __post_init__(self):
+        self.orders = [{g[1:]: i for g, i in self.gram_at.items() if g[0] == str(k)} for k in range(LONGEST, 0, -1)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.seen: dict[str, int] = dict(self.word_at)
+        self.table = self.word_log
+
+    def unseen(self, new: list[str]) -> np.ndarray:
+        """Scores of words that are not known: (words, languages)."""
+        out = np.zeros((len(new), len(self.langs)))
+        left = range(len(new))
+        for k, order in zip(range(LONGEST, 0, -1), self.orders):
+            at, of, rest = [], [], []
+            for i in left:
+                known = [order[g] for g in grams(new[i], k) if g in order]
+                if known:
+                    at += known
+                    of += [i] * len(known)
+                else:
+                    rest.append(i)
+            if at:
+                starts = np.flatnonzero(np.diff(of, prepend=-1))
+                out[np.array(of)[starts]] = np.add.reduceat(self.gram_log[at], starts)
+            left = rest
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Languages and scores of texts."""
         found = [words(t) for t in texts]
-        if len(self.seen) > HELD:
-            self.seen, self.extra = {}, []
-        base, get, seen = len(self.word_log), self.word_at.get, self.seen
-        for w in {w for x in found for w in x}:
-            if w not in seen:
-                i = get(w)
-                if i is None:
-                    i = base + len(self.extra)
-                    self.extra.append(self.unseen(w))
-                seen[w] = i
-        table = np.concatenate([self.word_log, np.array(self.extra).reshape(-1, len(self.langs))])
-        sizes = np.array([len(x) for x in found])
-        at = np.fromiter((seen[w] for x in found for w in x), np.int64, int(sizes.sum()))
+        if len(self.seen) > HELD + len(self.word_at):
+            self._forget()
+        seen, new = self.seen, set()
+        for x in found:
+            new.update(filterfalse(seen.__contains__, x))
+        if new:
+            order = list(new)
+            seen.update(zip(order, range(len(self.table), len(self.table) + len(order))))
+            self.table = np.concatenate([self.table, self.unseen(order)])
+        sizes = np.array([len(x) for x in found], np.int64)
+        at = np.fromiter(map(seen.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
         total, full = np.zeros((len(texts), len(self.langs))), np.flatnonzero(sizes)
-        if len(full) and self.langs:
-            total[full] = np.add.reduceat(table[at], (np.cumsum(sizes) - sizes)[full])
         langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-        for i in full if self.langs else []:
-            p = np.exp(total[i] - total[i].max())
-            langs[i], scores[i] = self.langs[int(np.argmax(p))], 1 / p.sum()
+        if not self.langs or not len(full):
+            return langs, scores
+        total[full] = np.add.reduceat(self.table[at], (np.cumsum(sizes) - sizes)[full])
+        p = np.exp(total - total.max(1, keepdims=True))
+        best, share = p.argmax(1), 1 / p.sum(1)
+        for i in full.tolist():
+            langs[i], scores[i] = self.langs[best[i]], share[i]
         return langs, scores
 
 
@@ -184,7 +224,7 @@ def _predict(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for lo, hi in text_slices([t or "" for t in texts]):
+            for lo, hi in text_slices(batch.column(1)):
                 langs, scores = model.value.predict(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
