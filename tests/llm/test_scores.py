@@ -65,7 +65,7 @@ def test_backoff_and_odd_rows(spark, odd):
     assert model.langs == ["xx", "yy"] and "zorbly" in model.word_at
     langs, scores = model.predict(["zorbly", "zorblim", "braktik", "123 !", None, "", "q"])
     assert langs[:6] == ["xx", "xx", "yy", "und", "und", "und"] and scores[3:6].tolist() == [0, 0, 0]
-    assert (model.unseen("braktik") == model.gram_log[[model.gram_at[f"5{g}"] for g in langid.grams("braktik", 5) if f"5{g}" in model.gram_at]].sum(0)).all()
+    assert (model.unseen(["braktik"])[0] == model.gram_log[[model.gram_at[f"5{g}"] for g in langid.grams("braktik", 5) if f"5{g}" in model.gram_at]].sum(0)).all()
     got = langid.predict(odd, model).collect()
     assert len(got) == odd.count() and all(r.lang_pred == "und" for r in got if r.doc_id in (3, 4, 5))
     nothing = langid.fit(odd.where("false"))
@@ -73,6 +73,21 @@ def test_backoff_and_odd_rows(spark, odd):
     assert langid.predict(odd.where("false"), model).count() == 0
 
 
+def test_gram_counts_equal_plain_counting():
+    rng = np.random.default_rng(0)
+    found = ["".join(rng.choice(list("abñ中"), rng.integers(1, 9))) for _ in range(200)]
+    n = rng.integers(1, 5, 200)
+    want = {}
+    for w, c in zip(found, n.tolist()):
+        for k in range(1, langid.LONGEST + 1):
+            for g in langid.grams(w, k):
+                want[f"{k}{g}"] = want.get(f"{k}{g}", 0) + c
+    got = {}
+    for terms, counts in langid.gram_counts(found, n):
+        got.update(zip(terms, counts.tolist()))
+    assert got == want
+
+
 def test_model_size_is_bounded(spark, docs, monkeypatch):
     monkeypatch.setattr(langid, "WORDS", 50)
     monkeypatch.setattr(langid, "GRAMS", 80)
