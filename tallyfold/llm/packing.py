@@ -129,7 +129,6 @@ def _pack(tokenizer: str, end_id: int, capacity: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 36
         enc = encoder(tokenizer)
-        end = np.array([end_id], dtype=enc.kind).tobytes()
         rows: list[tuple] = []
         count = 0
 
@@ -148,10 +147,11 @@ def _pack(tokenizer: str, end_id: int, capacity: int) -> Callable:
 
         packer = Packer(capacity, emit)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("")
             for lo, hi in text_slices(texts):
-                for doc_id, got in zip(ids[lo:hi], enc.encode(texts[lo:hi])):
-                    packer.add(doc_id, np.frombuffer(got + end, dtype=enc.kind).astype("<u4"))
+                ids, at = enc.flat(texts.slice(lo, hi - lo), end_id)
+                for doc_id, part in zip(doc_ids[lo:hi], np.split(ids.astype("<u4"), at[1:-1])):
+                    packer.add(doc_id, part)
                 if len(rows) > 20_000:
                     yield flush()
         packer.close()

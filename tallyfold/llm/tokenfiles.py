@@ -39,15 +39,15 @@ _COUNTS = -1
 def _encode(tokenizer: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end, size = np.array([end_id], enc.kind).tobytes(), enc.kind.itemsize
         total = np.zeros(max(len(enc.edge), end_id + 1), np.int64)
         names = ["doc_id", "n", "ids"]
         for batch in batches:
-            texts = batch.column(1).fill_null("").to_pylist()
+            texts = batch.column(1).fill_null("")
             for lo, hi in text_slices(texts):
-                ids = [x + end for x in enc.encode(texts[lo:hi])]
-                total += np.bincount(np.frombuffer(b"".join(ids), enc.kind), minlength=len(total))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(x) // size for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=names)
+                ids, at = enc.flat(texts.slice(lo, hi - lo), end_id)
+                total += np.bincount(ids, minlength=len(total))
+                packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((at * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), packed], names=names)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([_COUNTS], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
     return run

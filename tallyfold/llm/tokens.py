@@ -16,6 +16,8 @@ from functools import cache
 from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks remembered by one Python worker; beyond that the memory starts anew.
 CACHE_WORDS = 1_200_000
@@ -30,6 +32,10 @@ def _stays_letters(c: str) -> bool:
     return unicodedata.normalize("NFC", c).lower().isalpha()
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Ids of texts as bytes of ``kind`` (little-endian, 16 bits for a vocabulary of up to 65536, else 32), by the tokenizer file at ``path``.
 
@@ -39,9 +45,12 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        # ASCII letters need no normalisation and no splitting: the same merges on words between spaces
+        self.bare = Tokenizer(self.tok.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.tok.get_vocab()
         self.keeps_space = "Ġa" in vocab
         self.space = " " if self.keeps_space else ""
@@ -75,7 +84,16 @@ class Encoder:
         """Encode chunks in groups, one text for each; where the parts cannot be told apart, one by one."""
         groups = [chunks[i : i + _GROUP] for i in range(0, len(chunks), _GROUP)]
         joint = " " if self.keeps_space or letters else f" {_MARK} "
-        for group, e in zip(groups, self.tok.encode_batch_fast([self.space + joint.join(g) for g in groups], add_special_tokens=False)):
+        self._keep(groups, self.tok.encode_batch_fast([self.space + joint.join(g) for g in groups], add_special_tokens=False), letters)
+
+    def _letters(self, chunks: list[str]) -> None:
+        """Encode chunks of ASCII letters."""
+        groups = [chunks[i : i + _GROUP] for i in range(0, len(chunks), _GROUP)]
+        texts = ["Ġ" + " Ġ".join(g) for g in groups] if self.keeps_space else [" ".join(g).lower() for g in groups]
+        self._keep(groups, self.bare.encode_batch_fast(texts, add_special_tokens=False), True)
+
+    def _keep(self, groups: list[list[str]], encoded: list, letters: bool) -> None:
+        for group, e in zip(groups, encoded):
             parts = self._parts(np.array(e.ids, dtype="<u4"), letters)
             if len(parts) != len(group) or not letters and (len(self.mark) != 1 or any(_MARK in c for c in group)):
                 parts = self._plain([self.space + c for c in group])
@@ -97,43 +115,63 @@ class Encoder:
             else:
                 rest.append(c)
         letters.update(b for b in (c[:-1] for c in tailed) if b not in known)
-        self._joined(list(letters), True)
+        self._letters([c for c in letters if c.isascii()])
+        self._joined([c for c in letters if not c.isascii()], True)
         self._joined(rest, False)
         tails = self.tails
         for c in tailed:
             known[c] = known[c[:-1]] + tails[c[-1]]
 
-    def _chunks(self, text: str) -> list[str]:
-        if self.keeps_space:
-            return text.split(" ")
-        return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def flat(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each text's ids start and the last end); ``end_id`` is appended to each text."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         if len(self.first) > CACHE_WORDS // 10:
             self.first.clear()
         known, first = self.known, self.first
-        chunks = [self._chunks(t) for t in texts]
-        new: set[str] = set()
-        for x in chunks:
-            new.update(filterfalse(known.__contains__, x))
-        self._learn(new)
-        starts = sorted({x[0] for x in chunks if x[0] not in first})
-        for c, ids in zip(starts, self._plain(starts)):
-            first[c] = None if "<|" in c or c and c.isspace() else ids
-        out: list[bytes | None] = []
-        for x in chunks:
-            try:
-                x[0] = first[x[0]]
-                x[1:] = map(known.__getitem__, x[1:])
-                out.append(b"".join(x))
-            except TypeError:  # a chunk that depends on its neighbours
-                out.append(None)
-        whole = [i for i, o in enumerate(out) if o is None]
-        for i, ids in zip(whole, self._plain([texts[i] for i in whole])):
-            out[i] = ids
-        return out
+        # lower-casing A-Z early changes nothing for a vocabulary that lower-cases anyway
+        lists = pc.split_pattern(texts, " ") if self.keeps_space else pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        at = lists.offsets.to_numpy().astype(np.int64)
+        chunks = lists.values.slice(at[0], at[-1] - at[0])
+        at = at - at[0]
+        coded = chunks.dictionary_encode()
+        index, unique = coded.indices.to_numpy().astype(np.int64), _strings(coded.dictionary)
+        self._learn(set(filterfalse(known.__contains__, unique)))
+        parts = list(map(known.__getitem__, unique))
+        if self.keeps_space:
+            heads = _strings(chunks.take(pa.array(at[:-1])))
+            new = sorted({c for c in heads if c not in first})
+            for c, ids in zip(new, self._plain(new)):
+                first[c] = None if "<|" in c or c.isspace() else ids
+            place = {c: len(parts) + i for i, c in enumerate(dict.fromkeys(heads))}
+            parts += [first[c] for c in place]
+            index[at[:-1]] = [place[c] for c in heads]
+        none = [i for i, p in enumerate(parts) if p is None]
+        whole = np.unique(np.searchsorted(at, np.flatnonzero(np.isin(index, none)), side="right") - 1) if none else []
+        parts = [p or b"" for p in parts]
+        if end_id is not None:
+            index = np.insert(index, at[1:], len(parts))
+            at = at + np.arange(len(at))
+            parts.append(np.array([end_id], self.kind).tobytes())
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.kind.itemsize
+        n = size[index]
+        to = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat((np.cumsum(size) - size)[index] - to[:-1], n) + np.arange(to[-1])
+        ids, at = np.frombuffer(b"".join(parts), self.kind)[place], to[at]
+        if len(whole):  # texts with a chunk that depends on its neighbours
+            each = np.split(ids, at[1:-1])
+            end = b"" if end_id is None else parts[-1]
+            for i, x in zip(whole, self._plain([texts[int(i)].as_py() for i in whole])):
+                each[i] = np.frombuffer(x + end, self.kind)
+            ids, at = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        return ids, at
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        if not texts:
+            return []
+        ids, at = self.flat(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, at[1:-1])]
 
 
 @cache
@@ -142,13 +180,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def text_slices(texts: list[str], most: int = 4 << 20):
-    """(first, last + 1) of runs of texts with at most ``most`` characters, one text at least."""
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > lo and size + len(t) > most:
-            yield lo, i
-            lo, size = i, 0
-        size += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
+def text_slices(texts: pa.Array, most: int = 4 << 20):
+    """(first, last + 1) of runs of texts with at most ``most`` bytes, one text at least."""
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy())])
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, side="right")) - 1)
+        yield lo, hi
+        lo = hi
