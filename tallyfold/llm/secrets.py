@@ -102,7 +102,7 @@ def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     judged = one.select("row", "s", "k", "e", "hash").join(small_side(owners.select("hash", "live"), owners.count(), BROADCAST_ROWS), "hash")
     judged = judged.where("k < 3 OR live").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e", "live"))).alias("found"))
     judged = scratch.write(judged, "judged")
-    some = found.drop("found", "owner", "repo").join(small_side(judged, judged.count(), BROADCAST_ROWS // 4), "row", "left")
+    some = found.drop("found", "owner", "repo").join(small_side(judged, _spans(judged, "found"), BROADCAST_ROWS), "row", "left")
     some = some.withColumn("found", F.coalesce("found", F.array().cast("array<struct<s:long,k:int,e:long,live:boolean>>")))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     spans = F.array_join(F.transform("found", lambda c: F.concat_ws(":", kinds[c["k"]], c["s"], c["e"])), ",")
@@ -116,6 +116,11 @@ def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def _spans(rows: DataFrame, column: str) -> int:
+    """Spans in all rows; every row has one at least."""
+    return rows.agg(F.sum(F.size(column))).first()[0] or 0
+
+
 def _redact(texts_at: int, found_at: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,5 +149,5 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
     hits = hits.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "text_hash", "found"), own)])
     hits = scratch.write(hits.dropDuplicates(own[:2]), "hits")
     same = F.col(id_col).cast("long").eqNullSafe(F.col(own[0])) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(own[1]))
-    joined = docs.join(small_side(hits, hits.count(), BROADCAST_ROWS // 4), same, "left").select(*docs.columns, own[2])
+    joined = docs.join(small_side(hits, _spans(hits, own[2]), BROADCAST_ROWS), same, "left").select(*docs.columns, own[2])
     return joined.mapInArrow(_redact(docs.columns.index(text_col), len(docs.columns)), docs.schema)

@@ -61,5 +61,5 @@ def test_odd_rows_and_empty_table(odd):
 
 def test_shuffled_joins_give_the_same(spark, docs, monkeypatch):
     want = sorted(map(str, secrets.secrets(docs).drop("found").collect()))
-    monkeypatch.setattr(secrets, "BROADCAST_ROWS", -4)
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", -1)
     assert sorted(map(str, secrets.secrets(docs).drop("found").collect())) == want
