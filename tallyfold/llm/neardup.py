@@ -51,6 +51,8 @@ from tallyfold.llm.shared import Scratch, small_side
 _SYMBOLS = 4
 #: Tables of at most so many narrow rows may be broadcast.
 BROADCAST_ROWS = 400_000
+#: Bits of one set at most; sets beyond a quarter of it get a looser bound, never a wrong one.
+BITS = 1 << 17
 #: Rows of a block in which members of one bucket meet.
 MEET = 128
 
@@ -98,8 +100,8 @@ def _identity(s: np.ndarray) -> tuple[int, int]:
 
 
 def _bits(s: np.ndarray) -> bytes:
-    """A bit for each shingle of a set, at its hash modulo the power of two from 4 to 8 times the set's size, 64 at least."""
-    size = max(64, 1 << (4 * max(1, len(s)) - 1).bit_length())
+    """A bit for each shingle of a set, at its hash modulo the power of two from 4 to 8 times the set's size, from 64 to ``BITS``."""
+    size = min(BITS, max(64, 1 << (4 * max(1, len(s)) - 1).bit_length()))
     out = np.zeros(size, dtype=bool)
     out[(s & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()

@@ -85,7 +85,9 @@ def test_empty_table(odd):
     assert got.count() == 0 and got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
 
 
-def test_bound_on_common_shingles_holds():
+@pytest.mark.parametrize("most", [1 << 17, 256])
+def test_bound_on_common_shingles_holds(monkeypatch, most):
+    monkeypatch.setattr(neardup, "BITS", most)
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 400, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for n in (1, 5, 20, 30, 60, 70, 129, 300)]
     x = [a for a in sets for _ in sets]
