@@ -46,7 +46,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Words of a text, lower-cased; runs of other numerals alone are none."""
+    found = _WORD.findall(text.lower()) if text else []
+    return found if not text or text.isascii() else [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def grams(word: str, n: int) -> list[str]:

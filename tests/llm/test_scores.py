@@ -63,7 +63,7 @@ def test_backoff_and_odd_rows(spark, odd):
     rows = [("zorbly zorbly glimf", "xx"), ("brakte brakta brakto", "yy"), (None, "yy"), ("lost", None), ("", "xx")]
     model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
     assert model.langs == ["xx", "yy"] and "zorbly" in model.word_at
-    langs, scores = model.predict(["zorbly", "zorblim", "braktik", "123 !", None, "", "q"])
+    langs, scores = model.predict(["zorbly", "zorblim", "braktik", "123 ! ² Ⅷ", None, "", "q"])
     assert langs[:6] == ["xx", "xx", "yy", "und", "und", "und"] and scores[3:6].tolist() == [0, 0, 0]
     assert (model.unseen(["braktik"])[0] == model.gram_log[[model.gram_at[f"5{g}"] for g in langid.grams("braktik", 5) if f"5{g}" in model.gram_at]].sum(0)).all()
     got = langid.predict(odd, model).collect()
