@@ -124,7 +124,7 @@ def _built() -> dict[str, Query]:
     made["time_value_max"] = Query("events", ["user_id"], "ts", "max", "time")
     made["uint64_sum"] = Query("lineitem", ["l_suppkey"], "u", "sum", "decimal", {"u": "CAST(l_partkey AS DECIMAL(20,0))"}, sql="CAST(sum(u) AS BIGINT)", cast="bigint")
     made["dropna_key"] = Query("lineitem", ["k"], "l_quantity", "sum", "float", {"k": "CASE WHEN l_linenumber = 2 THEN NULL ELSE l_suppkey END"}, where="WHERE k IS NOT NULL")
-    made["keepna_key"] = Query("lineitem", ["k"], "l_quantity", "sum", "float", {"k": "CASE WHEN l_linenumber = 2 THEN NULL ELSE l_suppkey END"}, {"dropna": False})
+    made["keepna_key"] = Query("lineitem", ["k"], "l_quantity", "sum", "float", {"k": "CASE WHEN l_linenumber = 2 THEN NULL ELSE CAST(l_suppkey AS STRING) END"}, {"dropna": False})
     present = "CASE WHEN isnan(v) THEN NULL ELSE v END"
     made["min_count_sum"] = Query("lineitem", ["l_orderkey"], "v", "sum", "float", _nan_value("l_quantity"), {"min_count": 2}, sql=f"CASE WHEN count({present}) >= 2 THEN sum({present}) ELSE 'NaN'::DOUBLE END")
     made["min_count_prod"] = Query("lineitem", ["l_orderkey"], "v", "prod", "float", _nan_value("l_quantity"), {"min_count": 2}, sql=f"CASE WHEN count({present}) >= 2 THEN product({present}) ELSE 'NaN'::DOUBLE END")
