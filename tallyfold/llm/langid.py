@@ -1,16 +1,24 @@
 """Language identification by words first, with backoff to character n-grams.
 
-Method: words are runs of letters, lower-cased. For each language the model holds
-the log frequency of known words; a word not among them is scored by the longest
-character n-grams of it (5 letters down to 1, with ``_`` at its ends) of which any is
-known: the sum of their log frequencies. A text's score of a language is the sum
-over all its words; the prediction is the best language (ties: the first by name) and
-``score`` its share after a softmax.
+Method: words are runs of letters, lower-cased. For each language a known word weighs
+the log of its frequency against that of a word seen nowhere (half a count in the
+largest language, and the same frequency in all others, so that a small language
+neither wins nor loses by what it has not seen); a word not known is scored by the
+longest character n-grams of it (5 letters down to 1, with ``_`` at its ends) of which any
+is known: the sum of their weights. A text's score of a language is the sum over all
+its words; the prediction is the best language (ties: the first by name) and ``score``
+its share after a softmax.
 
 Fit: words are counted by language over all texts given, pre-aggregated in every
-task, and so are the n-grams of those words. Model size is bounded: the most
-frequent words and n-grams, at most ``WORDS`` and ``GRAMS``, cut at a count so that ties
-stay together; rarer words are what the backoff is for.
+task, and so are the n-grams of those words. All counts are kept. The most frequent
+words and n-grams, at most ``WORDS`` and ``GRAMS``, cut at a count so that ties stay
+together, are broadcast; all others are tables in the shared folder.
+
+Prediction: a scan sums the broadcast words of each text and lists its other words,
+each once with its count. The distinct ones of these are joined to the table of words;
+what is not there is looked up by its n-grams, broadcast ones first and the table's by
+a join. The weights are joined back to the lists (terms of more than one row in
+``HOT`` by broadcast) and summed by row. Without such tables the scan is all.
 
 Defined results: null texts and texts without a letter are ``und`` with a score of 0,
 and so is every text if nothing was learned. Rows are judged one by one, so
@@ -42,6 +50,8 @@ LONGEST = 5
 LANGUAGES = 1000
 #: Entries that a task counts before it hands them on; unseen words a worker remembers.
 HELD = 400_000
+#: A term of more than this part of the rows of a join is broadcast, not shuffled.
+HOT = 1000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -119,28 +129,46 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def _frequent(counts: DataFrame, most: int) -> list[tuple[str, str, int]]:
-    """(language, term, count) of the terms with the largest total counts, at most ``most`` terms."""
+def _frequent(counts: DataFrame, most: int) -> tuple[list[tuple[str, str, int]], DataFrame | None]:
+    """(language, term, count) of the terms with the largest total counts, at most ``most`` terms, and the counts of all others if there are any."""
     totals = counts.groupBy("term").agg(F.sum("n").alias("total"))
-    sizes = totals.groupBy("total").count().orderBy(F.desc("total")).limit(most).collect()
+    sizes = totals.groupBy("total").count().orderBy(F.desc("total")).limit(most + 1).collect()
     kept, least = 0, None
     for r in sizes:
         kept += r["count"]
         if kept > most:
             break
         least = r.total
-    if least is None:
-        return []
-    return [tuple(r) for r in counts.join(totals.where(F.col("total") >= least).select("term"), "term").select("lang", "term", "n").collect()]
+    split = counts.join(totals, "term")
+    head = [] if least is None else [tuple(r) for r in split.where(F.col("total") >= least).select("lang", "term", "n").collect()]
+    if kept <= most:
+        return head, None
+    return head, split if least is None else split.where(F.col("total") < least)
 
 
-def _logs(rows: list[tuple[str, str, int]], langs: list[str], totals: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
-    """Index of terms, and log frequencies (terms, languages) with half a count added to each."""
+def _logs(rows: list[tuple[str, str, int]], langs: list[str], scale: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+    """Index of terms, and their weights (terms, languages)."""
     at = {t: i for i, t in enumerate(sorted({r[1] for r in rows}))}
     counts, col = np.zeros((len(at), len(langs)), dtype=float), {x: i for i, x in enumerate(langs)}
     for lang, term, n in rows:
         counts[at[term], col[lang]] += n
-    return at, np.log((counts + 0.5) / (totals + 0.5 * (len(at) + 1)))
+    return at, np.log1p(counts * scale)
+
+
+_CELLS = "cells array<struct<l: int, d: double>>"
+_LEFT = f"term string, {_CELLS}"
+
+
+def _left(counts: DataFrame | None, langs: list[str], scale: np.ndarray, scratch: Scratch, name: str) -> str:
+    """Path of a table of the terms that are not broadcast, each with its weights that are not 0."""
+    spark = scratch.spark
+    if counts is None:
+        scratch.write(spark.createDataFrame([], _LEFT), name)
+    else:
+        scales = spark.createDataFrame([(x, i, float(w)) for i, (x, w) in enumerate(zip(langs, scale))], "lang string, l int, scale double")
+        cell = F.struct("l", F.log1p(F.col("n") * F.col("scale")).alias("d"))
+        scratch.write(counts.join(F.broadcast(scales), "lang").groupBy("term").agg(F.collect_list(cell).alias("cells")), name)
+    return scratch.path(name)
 
 
 @dataclass
@@ -150,6 +178,8 @@ class Model:
     word_log: np.ndarray
     gram_at: dict[str, int]
     gram_log: np.ndarray
+    #: Paths of the tables of all other words and n-grams, if there are any.
+    left: tuple[str, str] | None = None
 
     def __post_init__(self):
         self.orders = [{g[1:]: i for g, i in self.gram_at.items() if g[0] == str(k)} for k in range(LONGEST, 0, -1)]
@@ -179,7 +209,9 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Languages and scores of texts."""
+        """Languages and scores of texts, by a model that is broadcast as a whole."""
+        if self.left:
+            raise ValueError("words of this model are in tables; use predict(docs, model)")
         found = [words(t) for t in texts]
         if len(self.seen) > HELD + len(self.word_at):
             self._forget()
@@ -193,10 +225,15 @@ class Model:
         sizes = np.array([len(x) for x in found], np.int64)
         at = np.fromiter(map(seen.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
         total, full = np.zeros((len(texts), len(self.langs))), np.flatnonzero(sizes)
-        langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+        if self.langs and len(full):
+            total[full] = np.add.reduceat(self.table[at], (np.cumsum(sizes) - sizes)[full])
+        return self.decide(total, full)
+
+    def decide(self, total: np.ndarray, full: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Languages and scores by the sums of texts; ``full`` are the places of those with words."""
+        langs, scores = ["und"] * len(total), np.zeros(len(total))
         if not self.langs or not len(full):
             return langs, scores
-        total[full] = np.add.reduceat(self.table[at], (np.cumsum(sizes) - sizes)[full])
         p = np.exp(total - total.max(1, keepdims=True))
         best, share = p.argmax(1), 1 / p.sum(1)
         for i in full.tolist():
@@ -216,10 +253,17 @@ def fit(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") -> M
         raise ValueError(f"more than {LANGUAGES} languages")
     langs = sorted(sums)
     parts = {r.lang: r.n for r in pieces.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    word_at, word_log = _logs(_frequent(counts, WORDS), langs, np.array([sums[x] for x in langs], float))
-    gram_at, gram_log = _logs(_frequent(pieces, GRAMS), langs, np.array([parts[x] for x in langs], float))
+    out, rest = [], []
+    for table, total, most in ((counts, sums, WORDS), (pieces, parts, GRAMS)):
+        scale = 2 * max(total.values(), default=0) / np.array([total[x] for x in langs], float)
+        head, others = _frequent(table, most)
+        out += _logs(head, langs, scale)
+        rest.append((others, langs, scale, scratch))
+    left = None
+    if any(r[0] is not None for r in rest):
+        left = _left(*rest[0], "words_left"), _left(*rest[1], "grams_left")
     scratch.drop("words", "grams")
-    return Model(langs, word_at, word_log, gram_at, gram_log)
+    return Model(langs, *out, left)
 
 
 def _predict(model) -> Callable:
@@ -233,7 +277,139 @@ def _predict(model) -> Callable:
     return run
 
 
+def _cells(row: np.ndarray, lang: np.ndarray, weight: np.ndarray, rows: int) -> pa.Array:
+    """Lists of (l, d) for each of ``rows`` rows; ``row`` is sorted."""
+    offsets = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(lang.astype(np.int32)), pa.array(weight)], names=["l", "d"]))
+
+
+_SCANNED = f"row long, doc_id long, full boolean, {_CELLS}, terms array<struct<term: string, times: int>>"
+
+
+def _scan(model) -> Callable:
+    """Of each text the sums of its broadcast words, and its other words with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        seen, names, most = dict(m.word_at), [], len(m.word_at)
+        table = np.concatenate([m.word_log, np.zeros((1, len(m.langs)))])
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for lo, hi in text_slices(batch.column(2)):
+                found = [words(t) for t in texts[lo:hi]]
+                if len(names) > HELD:
+                    seen, names = dict(m.word_at), []
+                new = set()
+                for x in found:
+                    new.update(filterfalse(seen.__contains__, x))
+                seen.update(zip(new, range(most + len(names), most + len(names) + len(new))))
+                names += new
+                sizes = np.array([len(x) for x in found], np.int64)
+                at = np.fromiter(map(seen.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
+                total, full = np.zeros((hi - lo, len(m.langs))), np.flatnonzero(sizes)
+                if len(full):
+                    total[full] = np.add.reduceat(table[np.minimum(at, most)], (np.cumsum(sizes) - sizes)[full])
+                row, lang = np.nonzero(total)
+                other = at >= most
+                pair, times = np.unique((np.repeat(np.arange(hi - lo), sizes)[other] << 32) | (at[other] - most), return_counts=True)
+                terms = pa.array([names[i] for i in (pair & 0xFFFFFFFF).tolist()], pa.string())
+                offsets = np.searchsorted(pair >> 32, np.arange(hi - lo + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([terms, pa.array(times.astype(np.int32))], names=["term", "times"]))
+                held = [batch.column(k).slice(lo, hi - lo) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*held, pa.array(sizes > 0), _cells(row, lang, total[row, lang], hi - lo), lists], names=["row", "doc_id", "full", "cells", "terms"])
+
+    return run
+
+
+_PIECES = f"word string, rows long, known int, {_CELLS}, grams array<string>"
+
+
+def _pieces(model) -> Callable:
+    """Of each unseen word the longest order of which a broadcast n-gram is known, its sums, and the other n-grams of that order and longer ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in batches:
+            known, cells, other = [], [], []
+            for word in batch.column(0).to_pylist():
+                asked, total, k = [], {}, 0
+                for k, order in zip(range(LONGEST, 0, -1), m.orders):
+                    mine = grams(word, k)
+                    found = [order[g] for g in mine if g in order]
+                    asked += [f"{k}{g}" for g in mine if g not in order]
+                    if found:
+                        total = m.gram_log[found].sum(0)
+                        break
+                else:
+                    k = 0
+                known.append(k)
+                cells.append([(int(i), float(total[i])) for i in np.flatnonzero(total)] if k else [])
+                other.append(asked)
+            kind = pa.list_(pa.struct([("l", pa.int32()), ("d", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known, pa.int32()), pa.array(cells, kind), pa.array(other, pa.list_(pa.string()))], names=["word", "rows", "known", "cells", "grams"])
+
+    return run
+
+
+def _looked_up(rows: DataFrame, sizes: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` joined to the (term, cells) of ``table``; ``sizes`` holds how often each (term, rows) occurs. Terms of many rows are broadcast."""
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
+    many = [r.term for r in sizes.where(F.col("rows") > total // HOT + 1).select("term").collect()]
+    if not many:
+        return rows.join(table, "term")
+    hot = F.broadcast(rows.sparkSession.createDataFrame([(t,) for t in many], "term string"))
+    return rows.join(F.broadcast(table.join(hot, "term")), "term").unionByName(rows.join(hot, "term", "left_anti").join(table.join(hot, "term", "left_anti"), "term"))
+
+
+def _summed(rows: DataFrame, *by: str) -> DataFrame:
+    """Sums of the cells of ``rows`` (cells, times), by the keys ``by``, dealt out by the first of them."""
+    cells = rows.repartition(by[0]).select(*by, "times", F.explode("cells").alias("c"))
+    return cells.groupBy(*by, F.col("c.l").alias("l")).agg(F.sum(F.col("c.d") * F.col("times")).alias("d")).groupBy(*by).agg(F.collect_list(F.struct("l", "d")).alias("sums"))
+
+
+def _weights(asked: DataFrame, model: Model, held, scratch: Scratch) -> DataFrame:
+    """(term, rows, cells) of the ``asked`` (term, rows), by the tables of the model."""
+    spark = scratch.spark
+    words_left, grams_left = (spark.read.schema(_LEFT).parquet(p) for p in model.left)
+    seen = asked.join(words_left, "term")
+    pieces = scratch.write(asked.join(words_left, "term", "left_anti").select("term", "rows").mapInArrow(_pieces(held), _PIECES), "pieces")
+    lists = pieces.select("word", F.explode("grams").alias("term"))
+    found = _looked_up(lists, lists.groupBy("term").agg(F.count("*").alias("rows")), grams_left)
+    sums = _summed(found.select("word", F.substring("term", 1, 1).cast("int").alias("k"), F.lit(1).alias("times"), "cells"), "word", "k")
+    best = sums.groupBy("word").agg(F.max_by(F.struct("k", "sums"), "k").alias("best"))
+    cells = F.when(F.col("best").isNull(), F.col("cells")).when(F.col("best.k") > F.col("known"), F.col("best.sums")).otherwise(F.concat("cells", "best.sums"))
+    unseen = pieces.join(best, "word", "left").select(F.col("word").alias("term"), "rows", cells.alias("cells"))
+    return scratch.write(seen.select("term", "rows", "cells").unionByName(unseen), "weights")
+
+
+def _decided(model) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in batches:
+            total = np.zeros((len(batch), len(m.langs)))
+            for k in (2, 3):
+                lists = batch.column(k)
+                row, flat = lists.value_parent_indices().to_numpy(), lists.flatten()
+                np.add.at(total, (row, flat.field(0).to_numpy()), flat.field(1).to_numpy())
+            langs, scores = m.decide(total, np.flatnonzero(batch.column(1).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+
+    return run
+
+
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, lang_pred, score."""
+    spark, out = docs.sparkSession, "doc_id long, lang_pred string, score double"
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double")
+    held = spark.sparkContext.broadcast(model)
+    if not model.left:
+        return texts.mapInArrow(_predict(held), out)
+    scratch = Scratch(spark, "langid")
+    scanned = scratch.write(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_scan(held), _SCANNED), "scanned")
+    lists = scanned.select("row", F.inline("terms"))
+    asked = scratch.write(lists.groupBy("term").agg(F.count("*").alias("rows")), "asked")
+    weights = _weights(asked, model, held, scratch)
+    sums = _summed(_looked_up(lists, asked, weights.select("term", "cells")), "row")
+    both = scanned.select("row", "doc_id", "full", "cells").join(sums, "row", "left")
+    none = F.array().cast("array<struct<l: int, d: double>>")
+    return both.select("doc_id", "full", "cells", F.coalesce("sums", none).alias("sums")).mapInArrow(_decided(held), out)

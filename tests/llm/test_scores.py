@@ -93,3 +93,39 @@ def test_model_size_is_bounded(spark, docs, monkeypatch):
     monkeypatch.setattr(langid, "GRAMS", 80)
     model = langid.fit(docs)
     assert 0 < len(model.word_at) <= 50 and 0 < len(model.gram_at) <= 80
+
+
+def test_terms_that_are_not_broadcast_count_as_well(spark, docs, odd, monkeypatch):
+    for table in (docs, odd):
+        whole = langid.fit(table)
+        assert whole.left is None
+        want = sorted(map(tuple, langid.predict(docs, whole).collect()))
+        for most in ((50, 80), (1, 1)):
+            with monkeypatch.context() as m:
+                m.setattr(langid, "WORDS", most[0])
+                m.setattr(langid, "GRAMS", most[1])
+                m.setattr(langid, "HOT", 20)
+                few = langid.fit(table)
+                got = sorted(map(tuple, langid.predict(docs, few).collect()))
+                strange = sorted(map(str, langid.predict(odd, few).collect()))
+            assert [g[:2] for g in got] == [w[:2] for w in want]
+            np.testing.assert_allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-6)
+            assert len(strange) == odd.count()
+
+
+def test_rare_language_is_told_by_words_that_are_not_broadcast(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    def turned(ids):  # a language of 30 texts: English, letters turned by 13
+        return ids.withColumn("text", F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "nopqrstuvwxyzabcdefghijklm")).withColumn("lang", F.lit("xx"))
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang", "text").where("lang IS NOT NULL")
+    learn, test = docs.where("crc32(cast(doc_id AS string)) % 3 != 1"), docs.where("crc32(cast(doc_id AS string)) % 3 = 1")
+    english = "lang = 'en' AND length(text) BETWEEN 200 AND 4000"
+    learn = learn.unionByName(turned(learn.where(english).orderBy("doc_id").limit(30)))
+    test = test.unionByName(turned(test.where(english).orderBy("doc_id").limit(60)).withColumn("doc_id", -F.col("doc_id") - 1))
+    model = langid.fit(learn)
+    assert model.left
+    m = langid.predict(test, model).join(test.select("doc_id", "lang"), "doc_id").toPandas()
+    right = (m.lang_pred == m.lang).groupby(m.lang).mean()
+    assert len(right) == 5 and right.min() > 0.99, right
