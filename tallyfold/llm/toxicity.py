@@ -14,7 +14,9 @@ Fit: a bounded sample of labelled rows, at most ``sample`` of each label, those
 the smallest hash of their id. Of the terms found in it, counted by Spark, the
 ``TERMS`` with the largest chi-square against the label, and at least ``LEAST``, are
 kept. The sample's kept terms (bounded by sample times TERMS) go to the driver,
-where Adam minimises the logistic loss.
+where Adam minimises the logistic loss. Each label's share of the sample is not its
+share of all labelled documents, so these are counted, and the bias is moved by the
+difference of the two log odds: the threshold means the same for any sample.
 
 Defined results: null and empty texts have no terms and score as the bias says.
 Rows are scored one by one, so repeated rows and null ids give rows of their own.
@@ -142,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     parts = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(parts[0].union(parts[1])), "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"])
+    chosen = scratch.write(parts[0].union(parts[1]), "chosen")
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"])
     rows = scratch.write(rows, "sample")
     sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     n, ones = sum(sizes.values()), sizes.get(1, 0)
@@ -160,7 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     for i, r in enumerate(found):
         x[i, r.at] = 1
     model.bias, model.weight, model.factor = train(x, y)
-    scratch.drop("sample")
+    if chosen.groupBy("label").count().where(F.col("count") >= sample).count():
+        every = {r.label: r["count"] for r in known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("label").count().collect()}
+        model.bias += float(np.log(every[1] / every[0]) - np.log(ones / (n - ones)))
+    scratch.drop("sample", "chosen")
     return model
 
 

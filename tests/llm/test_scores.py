@@ -129,3 +129,17 @@ def test_rare_language_is_told_by_words_that_are_not_broadcast(spark, monkeypatc
     m = langid.predict(test, model).join(test.select("doc_id", "lang"), "doc_id").toPandas()
     right = (m.lang_pred == m.lang).groupby(m.lang).mean()
     assert len(right) == 5 and right.min() > 0.99, right
+
+
+def test_small_sample_keeps_the_prior_of_all_labels(spark):
+    rows = []
+    for i in range(2400):  # "dubious" is in 300 clean texts and in 100 toxic ones
+        toxic = i % 12 == 0
+        word = "dubious" if (i % 24 == 0 if toxic else i % 22 < 3) else "vile" if toxic else "pleasant"
+        rows.append((i, f"{word} text", int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels = table.drop("toxic"), table.drop("text").union(spark.range(10**6, 10**6 + 3000).selectExpr("id", "1"))
+    clean = table.where("toxic = 0").drop("toxic")
+    kept = [toxicity.reject(clean, toxicity.fit(docs, labels.where("doc_id < 1000000"), sample=k)).count() for k in (4000, 150)]
+    assert kept == [2200, 2200]
+    assert toxicity.reject(clean, toxicity.fit(docs, labels, sample=1500)).count() == 2200  # labels without a document do not count
