@@ -11,17 +11,22 @@ Method
    without its symbol j". m is the smallest number for which a pair at the
    similarity threshold exceeds 2 m - 1 differing symbols with a probability of
    at most ``miss``.
-3. Linear pass: each class is compared with one head of each of its buckets, the
-   first in an order that differs from key to key; confirmed links give components.
-4. Rest: only buckets that still hold several components matter. A class with so
-   many shingles found in no other class of those buckets that no partner could
-   reach the threshold is set aside (an exact bound). In what is left, the rows
-   outside a bucket's largest component meet the rows of other components, block
-   by block of bounded size; a pair leaves its block only if it is within the
-   signature distance and two exact bounds on the common shingles (those found
-   nowhere else, and a bit for each shingle) allow the threshold. So no link
-   between two components is lost, and members of a large group of near copies
-   that are linked already do not meet again.
+3. Linear rounds: a bucket's head is one of its classes, first the most central one (in the
+   most populous buckets), then the first in another order for each round. A class is
+   compared with some heads of its buckets that are in another component, those it
+   shares most keys with and those of its smallest buckets; confirmed links give
+   components. Only buckets that still hold several components go on to the next round.
+4. Rest, without regard to heads: a shingle that no class of another component in an open bucket
+   has is a class's own. A class stays in a bucket only if the shingles that are not
+   its own could reach the threshold with a partner that has as few own shingles as any
+   there (an exact bound); with each class that leaves, more shingles become own, so this
+   is done again while it helps. What is left is put into bins by size and share of own
+   shingles, and rows outside a bucket's largest component meet rows of other components,
+   block by block, in those pairs of bins whose ranges allow the threshold; a pair leaves its
+   block only if it is within the signature distance and two exact bounds on the common
+   shingles (own ones, and a bit for each shingle) allow the threshold. So no link
+   between two components is lost, members of a large group of near copies that are
+   linked already do not meet again, and documents that share a passage alone do not meet.
 
 Rows never meet in one task: buckets are joined by key (skewed keys are split by
 adaptive execution), sums are pre-aggregated, and intermediate tables live in
@@ -32,29 +37,41 @@ shingle and are linked with nothing (``component_id`` is their own id). A row
 without id takes part in links; ``component_id`` is the smallest id that is not
 null, or null. Repeated rows give repeated result rows. An empty table gives an
 empty result. Columns besides id and text are neither read nor returned.
+``one_of_each`` keeps rows: of each component that with the smallest id (null last), of
+several texts under that id the one with the smallest hash, of equal rows one; every
+row whose text has no shingle stays.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm import wordhash as wh
 from tallyfold.llm.shared import Scratch, small_side
 
 _SYMBOLS = 4
+#: Numbers that give the second and later rounds an order of their own.
+_ORDERS = wh.mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)).view(np.int64).tolist()
 #: Tables of at most so many narrow rows may be broadcast.
 BROADCAST_ROWS = 400_000
 #: Bits of one set at most; sets beyond a quarter of it get a looser bound, never a wrong one.
 BITS = 1 << 17
 #: Rows of a block in which members of one bucket meet.
 MEET = 128
+#: Linear rounds, heads of each kind that a class is compared with in one, and pairs of one head that meet its set together.
+ROUNDS = 2
+HEADS = 2
+SPREAD = 512
+#: Times that classes are taken out of buckets by their own shingles, at most.
+PASSES = 3
 
 
 def chunk_count(percent: int, miss: float) -> int:
@@ -147,9 +164,10 @@ def _sketch(size: int, m: int) -> Callable:
                 if full:
                     sig[full] = signatures([sets[i] for i in full], m)
                 ids = np.array([_identity(s) for s in sets], dtype=np.int64).reshape(-1, 2)
+                kept = [batch.column(k).slice(lo, hi - lo) for k in (0, 2)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig.tolist(), pa.list_(pa.int64()))],
-                    names=["doc_id", "set_hi", "set_lo", "n", "sig"],
+                    [*kept, pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig.tolist(), pa.list_(pa.int64()))],
+                    names=["doc_id", "text_hash", "set_hi", "set_lo", "n", "sig"],
                 )
 
     return run
@@ -197,12 +215,6 @@ def _scattered(x: Column) -> Column:
     return x
 
 
-def _turn(m: int) -> Column:
-    """A constant for each t; the smallest ``cid XOR turn`` is another member of a bucket for each."""
-    values = wh.mix(np.arange(1, _SYMBOLS * m + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)).view(np.int64)
-    return F.array(*[F.lit(int(v)).cast("long") for v in values])[F.col("t")]
-
-
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(v, label): the smallest node reachable from each node of ``edges`` (a, b); nodes without edges are not listed.
 
@@ -224,90 +236,188 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: st
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    """The pairs (a, b) whose full sets reach the threshold; the set of a ``b`` in many pairs is dealt out to groups of ``SPREAD`` pairs."""
+    groups = F.ceil(F.col("pairs") / SPREAD).cast("int")
+    hot = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") > SPREAD).select("b", groups.alias("groups"))
+    hot = small_side(hot, hot.count(), BROADCAST_ROWS)
     left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
+    right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")).join(hot, "b", "left").withColumn("group", F.explode(F.sequence(F.lit(0), F.coalesce("groups", F.lit(1)) - 1)))
+    pairs = pairs.join(hot, "b", "left").withColumn("group", F.pmod(F.xxhash64("a"), F.coalesce("groups", F.lit(1))).cast("int"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("k"), (F.size("x") + F.size("y") - both).alias("u")).where(100 * F.col("k") >= percent * F.col("u")).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    Documents with ``100 * common >= percent * union`` over their sets of
-    ``size``-word shingles are linked; see the module for method and edge cases.
-    """
+    pairs = pairs.select("a", "b", "group").join(left, "a").join(right.select("b", "group", "y"), ["b", "group"])
+    return pairs.select("a", "b", both.alias("k"), (F.size("x") + F.size("y") - both).alias("u")).where(100 * F.col("k") >= percent * F.col("u")).select("a", "b")
+
+
+def _near_heads(rows: DataFrame, order: Column) -> DataFrame:
+    """(t, key, cid, comp, head, head_comp, rows): the rows of keys with more than one component, and the class that comes last by ``order`` in each."""
+    heads = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("rows"), F.max_by("cid", order).alias("head"), F.max_by("comp", order).alias("head_comp"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").drop("lo", "hi")
+    return rows.select("t", "key", "cid", "comp").join(heads, ["t", "key"])
+
+
+def _head_pairs(near: DataFrame) -> DataFrame:
+    """(a, b): each class with heads of other components, ``HEADS`` that it meets in most keys and as many that it meets in the smallest buckets; the others have later rounds and the last step."""
+    met = near.where("comp != head_comp").select(F.col("cid").alias("a"), F.col("head").alias("b"), "rows").repartition("a")
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"), F.min("rows").alias("rows"))
+    most, least = (F.row_number().over(Window.partitionBy("a").orderBy(*by)) for by in ((F.desc("keys"), "b"), ("rows", F.desc("keys"), "b")))
+    return met.select("a", "b", most.alias("most"), least.alias("least")).where(F.least("most", "least") <= HEADS).select("a", "b")
+
+
+def _shrunk(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(t, key, cid, comp, n, alone): ``rows`` without the classes that no row of another component in their bucket can match."""
+    before = None
+    for turn in range(PASSES):
+        open_ = scratch.write(rows.select("cid", "comp").distinct(), f"open{turn}")
+        each = sets.join(open_, "cid").select("cid", "comp", F.explode("shingles").alias("s"))
+        own = each.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo = hi").select("s")
+        alone = each.join(own, "s", "left_semi").groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
+        members = sets.join(open_, "cid", "left_semi").select("cid", F.size("shingles").cast("long").alias("n"))
+        members = scratch.write(members.join(alone, "cid", "left").select("cid", "n", F.coalesce("alone", F.lit(0)).alias("alone")), f"members{turn}")
+        wide = rows.select("t", "key", "cid", "comp").join(members, "cid")
+        least = wide.groupBy("key").agg(F.min("alone").alias("least"))
+        fit = 100 * (F.col("n") - F.col("alone")) >= percent * (F.col("n") + F.col("least"))
+        kept = wide.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")).join(least, "key").where(fit)
+        rows = scratch.write(_mixed(kept.select("t", "key", "cid", "comp", "n", "alone")), f"shrunk{turn}")
+        scratch.drop(f"open{turn}", f"members{turn}", f"shrunk{turn - 1}")
+        left = rows.count()
+        if not left or before is not None and left > 0.8 * before:
+            break
+        before = left
+    return rows
+
+
+def _binned(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` with their bucket's main component and a bin: logarithm of the size (partners are at most one apart) and share of own shingles."""
+    sizes = rows.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+    size = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
+    return rows.join(sizes, "key").withColumns({"size": size, "share": F.floor(F.col("alone") * 64 / F.col("n")).cast("int")})
+
+
+def _open_bins(full: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows by bin of a bucket, and the pairs of bins in which a pair may reach the threshold."""
+    bins = full.groupBy("key", "size", "share").agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.col("n") - F.col("alone")).alias("most"), F.min("n").alias("from"), F.max("n").alias("to"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+    )
+    x, y = (bins.select("key", *[F.col(c).alias(f"{c}_{side}") for c in bins.columns if c != "key"]) for side in "xy")
+    # common shingles are no one's own: c of n + k - c in the union at least
+    ok = (F.abs(F.col("size_x") - F.col("size_y")) <= 1) & ((100 + percent) * F.least("most_x", "most_y") >= percent * (F.col("from_x") + F.col("from_y")))
+    ok &= (100 * F.col("to_x") >= percent * F.col("from_y")) & (100 * F.col("to_y") >= percent * F.col("from_x")) & ~((F.col("lo_x") == F.col("hi_y")) & (F.col("hi_x") == F.col("lo_y")))
+    return bins.select("key", "size", "share", "rows"), x.join(y, "key").where(ok).select("key", "size_x", "share_x", "size_y", "share_y")
+
+
+def _met(full: DataFrame, m: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of different components that may reach the threshold, from rows with signatures and bits."""
+    bins, allowed = _open_bins(full, percent)
+    full = scratch.write(full.join(bins, ["key", "size", "share"]), "full")
+    few = _blocks(full.where("comp != main")).select("t", "key", F.col("size").alias("size_x"), F.col("share").alias("share_x"), F.col("members").alias("few"))
+    other = _blocks(full).select("key", F.col("size").alias("size_y"), F.col("share").alias("share_y"), "members")
+    met = few.join(allowed, ["key", "size_x", "share_x"]).join(other, ["key", "size_y", "share_y"])
+    return met.select("t", "few", "members").mapInArrow(_meet(m, percent), "a long, b long").distinct()
+
+
+def linked(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    """One row per document: doc_id, text_hash, n (shingles), label (a number of its component), component_id."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
     m = chunk_count(percent, miss)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = scratch.write(texts.mapInArrow(_sketch(size, m), "doc_id long, set_hi long, set_lo long, n long, sig array<long>"), "sketch")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    sketch = scratch.write(texts.mapInArrow(_sketch(size, m), "doc_id long, text_hash long, set_hi long, set_lo long, n long, sig array<long>"), "sketch")
     classes = sketch.where("n > 0").groupBy("set_hi", "set_lo", "n", "sig").agg(F.min("doc_id").alias("rep"))
     classes = scratch.write(classes.select(_scattered(F.monotonically_increasing_id()).alias("cid"), "*"), "classes")
 
     # buckets that hold more than one class
-    turn = _turn(m)
-    heads = _keys(classes, m).groupBy("t", "key").agg(F.count(F.lit(1)).alias("rows"), F.min(F.col("cid").bitwiseXOR(turn)).alias("first")).where("rows > 1")
-    heads = heads.select("t", "key", F.col("first").bitwiseXOR(turn).alias("head"))
-    heads = scratch.write(heads, "heads")
-    buckets = scratch.write(_keys(classes, m).join(small_side(heads, heads.count(), BROADCAST_ROWS), ["t", "key"]), "buckets")
+    several = _keys(classes, m).groupBy("t", "key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    several = scratch.write(several, "several")
+    buckets = scratch.write(_keys(classes, m).join(small_side(several, several.count(), BROADCAST_ROWS), ["t", "key"]), "buckets")
+    central = buckets.groupBy("cid").agg(F.sum("rows").alias("weight"))
+    inside = scratch.write(central.join(classes, "cid").select("cid", "weight", "rep", "set_hi", "set_lo"), "inside")
 
     # full sets of the classes in them
-    inside = scratch.write(buckets.select("cid").distinct().join(classes, "cid").select("cid", "rep", "set_hi", "set_lo"), "inside")
     wanted = inside.select(F.col("rep").alias("doc_id")).distinct()
     near = texts.alias("t").join(small_side(wanted, inside.count(), BROADCAST_ROWS).alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
     found = near.select("doc_id", "text").mapInArrow(_full_sets(size), "set_hi long, set_lo long, shingles array<long>, bits binary")
     sets = found.join(inside, ["set_hi", "set_lo"]).select("cid", "shingles", "bits")
-    sets = scratch.write(sets.dropDuplicates(["cid"]) if _repeated(texts, sketch) else sets, "sets")
+    sets = scratch.write(sets.dropDuplicates(["cid"]) if repeated(sketch) else sets, "sets")
 
     info = classes.select("cid", "n", "sig")
 
     def described(df: DataFrame, name: str) -> DataFrame:
         return df.join(info.select(F.col("cid").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}")), name)
 
-    # linear pass: each class and the first of each of its buckets
-    pairs = buckets.where("cid != head").select(F.col("cid").alias("a"), F.col("head").alias("b")).distinct()
-    pairs = described(described(pairs, "a"), "b")
-    fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    pairs = pairs.where(fit & (_distance(F.col("sig_a"), F.col("sig_b"), m) <= 2 * m - 1)).select("a", "b")
-    links = scratch.write(_confirmed(pairs, sets, percent), "links")
-    comp = components(spark, links, scratch, "first")
+    rows = buckets.join(inside.select("cid", "weight"), "cid").select("t", "key", "cid", F.col("cid").alias("comp"), "weight")
+    links = comp = None
+    for turn in range(ROUNDS):
+        # weights are rows of buckets, 4 m times the number of classes at most
+        order = F.shiftleft("weight", 16).bitwiseOR(F.col("cid").bitwiseAND(F.lit(0xFFFF))) if turn == 0 else F.col("cid").bitwiseXOR(F.lit(_ORDERS[turn - 1]))
+        near = scratch.write(_near_heads(rows, order), f"near{turn}")
+        pairs = described(described(_head_pairs(near), "a"), "b")
+        fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+        pairs = scratch.write(pairs.where(fit & (_distance(F.col("sig_a"), F.col("sig_b"), m) <= 2 * m - 1)).select("a", "b"), f"pairs{turn}")
+        more = scratch.write(_confirmed(pairs, sets, percent), f"links{turn}")
+        scratch.drop("buckets", "several", f"near{turn - 1}", f"pairs{turn}")
+        found = more.limit(1).count()
+        links = more if links is None else links.union(more)
+        if found:
+            comp = components(spark, links, scratch, f"comp{turn}")
+        if comp is None:
+            comp = links.select(F.col("a").alias("v"), F.col("b").alias("label"))
+        rows = near.select("t", "key", "cid").join(comp.withColumnRenamed("v", "cid"), "cid", "left").select("t", "key", "cid", F.coalesce("label", "cid").alias("comp"))
+        if not found:
+            break
 
     # buckets that hold more than one component
-    rows = buckets.select("t", "key", "cid").join(comp.withColumnRenamed("v", "cid"), "cid", "left").select("t", "key", "cid", F.coalesce("label", "cid").alias("comp"))
     rows = scratch.write(_mixed(rows), "mixed")
-    scratch.drop("heads", "buckets")
-    open_ = scratch.write(rows.select("cid").distinct(), "open")
-    alone = sets.join(open_, "cid", "left_semi").select("cid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("cid")).where("c = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
-    kept = open_.join(alone, "cid", "left").join(info, "cid").select("cid", "n", "sig", F.coalesce("alone", F.lit(0)).alias("alone"))
-    kept = kept.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")).join(sets.select("cid", "bits"), "cid")
-    kept = scratch.write(kept, "partners")
-    rows = scratch.write(_mixed(rows.join(kept, "cid", "left_semi").select("t", "key", "cid", "comp")), "rest")
-    sizes = rows.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("most"), F.sum("count").alias("rows")).select("key", "rows", F.col("most.comp").alias("main"))
-    full = scratch.write(rows.join(sizes, "key").join(kept, "cid"), "full")
-    others = full.where("comp != main").select("t", "key", "rows", *_MEMBER)
-    pairs = _blocks(others).withColumnRenamed("members", "few").join(_blocks(full), ["t", "key"]).mapInArrow(_meet(m, percent), "a long, b long")
-    more = scratch.write(_confirmed(pairs.distinct(), sets, percent), "more")
-    if more.limit(1).count():
-        comp = components(spark, links.union(more), scratch, "second")
-    scratch.drop("mixed", "rest", "full", "sets")
+    if rows.limit(1).count():
+        rows = _shrunk(rows, sets, percent, scratch)
+        kept = rows.select("cid").distinct().join(info.select("cid", "sig"), "cid").join(sets.select("cid", "bits"), "cid")
+        full = scratch.write(_binned(rows, percent), "binned").join(scratch.write(kept, "partners"), "cid")
+        more = scratch.write(_confirmed(scratch.write(_met(full, m, percent, scratch), "met"), sets, percent), "links")
+        if more.limit(1).count():
+            comp = components(spark, links.union(more), scratch, "last")
 
     label = F.coalesce("label", "cid")
     classed = scratch.write(classes.select("cid", "set_hi", "set_lo", "rep").join(comp.withColumnRenamed("v", "cid"), "cid", "left").select("set_hi", "set_lo", "rep", label.alias("label")), "classed")
     smallest = classed.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = scratch.write(classed.join(smallest, "label").select("set_hi", "set_lo", "component_id"), "named")
-    out = sketch.select("doc_id", "set_hi", "set_lo", "n").join(named, ["set_hi", "set_lo"], "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = scratch.write(classed.join(smallest, "label").select("set_hi", "set_lo", "label", "component_id"), "named")
+    scratch.keep("sketch", "named")
+    out = sketch.select("doc_id", "text_hash", "set_hi", "set_lo", "n").join(named, ["set_hi", "set_lo"], "left")
+    return out.select("doc_id", "text_hash", "n", "label", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Documents with ``100 * common >= percent * union`` over their sets of
+    ``size``-word shingles are linked; see the module for method and edge cases.
+    """
+    out = linked(docs, Scratch(docs.sparkSession, "neardup"), id_col=id_col, text_col=text_col, size=size, percent=percent, miss=miss)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    """The rows of ``docs`` that are the first of their component, all columns as they are; see the module for repeated and missing ids."""
+    scratch = Scratch(docs.sparkSession, "one_of_each")
+    rows = scratch.write(linked(docs, scratch, id_col=id_col, text_col=text_col, size=size, percent=percent, miss=miss), "linked")
+    scratch.keep("linked")
+    mine = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = rows.where((F.col("n") > 0) & ~mine)
+    if repeated(rows):
+        firsts = rows.where((F.col("n") > 0) & mine).groupBy("label").agg(F.min("text_hash").alias("first"))
+        gone = rows.where("n > 0").join(firsts, "label").where(~mine | (F.col("text_hash") != F.col("first")))
+        worded = F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        docs = docs.where(~worded).unionByName(docs.where(worded).dropDuplicates([id_col, text_col]))
+    own = [f"_{uuid.uuid4().hex[:12]}_{c}" for c in ("id", "hash")]
+    gone = scratch.write(gone.select(F.col("doc_id").alias(own[0]), F.col("text_hash").alias(own[1])).distinct(), "gone")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(own[0])) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(own[1]))
+    return docs.join(small_side(gone, gone.count(), BROADCAST_ROWS), same, "left_anti")
 
 
 _MEMBER = ("cid", "comp", "main", "n", "alone", "sig", "bits")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """(t, key, members): the rows of each bucket in blocks of about ``MEET`` rows."""
+    """(t, key, size, share, members): the rows of each bin of a bucket in blocks of about ``MEET`` rows."""
     block = F.pmod(F.xxhash64("cid"), F.ceil(F.col("rows") / MEET))
-    return rows.groupBy("t", "key", block.alias("block")).agg(F.collect_list(F.struct(*_MEMBER)).alias("members")).drop("block")
+    return rows.groupBy("t", "key", "size", "share", block.alias("block")).agg(F.collect_list(F.struct(*_MEMBER)).alias("members")).drop("block")
 
 
 def _members(column: pa.Array) -> Iterator[dict]:
@@ -320,6 +430,11 @@ def _members(column: pa.Array) -> Iterator[dict]:
         yield {name: v[lo:hi] for name, v in arrays.items()}
 
 
+def _differing(xor: np.ndarray) -> np.ndarray:
+    """Symbols that differ, of the exclusive or of chunks."""
+    return (np.ascontiguousarray(xor).view(np.uint16).reshape(*xor.shape, _SYMBOLS) != 0).sum(-1)
+
+
 def close_pairs(x: dict, y: dict, t: int, m: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(a, b): pairs of two blocks of one bucket in different components that may reach the threshold.
 
@@ -328,13 +443,16 @@ def close_pairs(x: dict, y: dict, t: int, m: int, percent: int) -> tuple[np.ndar
     """
     n, k, alone, lone = x["n"][:, None], y["n"], x["alone"][:, None], y["alone"]
     ok = (x["comp"][:, None] != y["comp"]) & ((y["comp"] == y["main"]) | (x["cid"][:, None] < y["cid"]))
-    ok &= (100 * (n - alone) >= percent * (n + lone)) & (100 * (k - lone) >= percent * (k + alone)) & (100 * np.minimum(n, k) >= percent * np.maximum(n, k))
+    ok &= (100 + percent) * np.minimum(n - alone, k - lone) >= percent * (n + k)
     i, j = np.nonzero(ok)
     if not len(i):
         return i, j
-    differ = (x["sig"].view(np.uint16)[i] != y["sig"].view(np.uint16)[j]).reshape(len(i), m, _SYMBOLS).sum(2)
     c, symbol = divmod(t, _SYMBOLS)
-    near = (differ.sum(1) <= 2 * m - 1) & (differ[:, :c] > 1).all(1) & ((differ[:, c] == 1) | (symbol == 0))
+    for k in range(c + 1):  # most pairs share an earlier bucket, so chunk by chunk
+        differ = _differing(x["sig"][i, k] ^ y["sig"][j, k])
+        near = differ > 1 if k < c else (differ == 1) | (differ == 0) & (symbol == 0)
+        i, j = i[near], j[near]
+    near = _differing(x["sig"][i] ^ y["sig"][j]).sum(1) <= 2 * m - 1
     i, j = i[near], j[near]
     both = most_common(list(x["bits"][i]), x["n"][i], list(y["bits"][j]), y["n"][j])
     near = 100 * both >= percent * (x["n"][i] + y["n"][j] - both)
@@ -359,6 +477,6 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(several, "key", "left_semi")
 
 
-def _repeated(texts: DataFrame, sketch: DataFrame) -> bool:
-    """Whether an id stands in more than one row (nulls count as one id)."""
-    return bool(sketch.groupBy("doc_id").count().where("count > 1").limit(1).count())
+def repeated(rows: DataFrame) -> bool:
+    """Whether a ``doc_id`` stands in more than one row (nulls count as one id)."""
+    return bool(rows.groupBy("doc_id").count().where("count > 1").limit(1).count())

@@ -1,8 +1,13 @@
 """The shared folder of a cluster: intermediate tables and files that survive lost executors.
 
 Every operator cuts its lineage by writing a table below ``spark.checkpoint.dir``
-and reading it again. Where that setting is missing, as in tests, a temporary
-folder of this machine takes its place.
+and reading it again. Where that setting is missing, a temporary folder of this
+machine takes its place if Spark runs on this machine alone, as in tests; on a
+cluster that is an error, since executors would not see the folder.
+
+Results are planned over such tables, so the tables have to stay until a result has
+been written or collected. Tables that no result needs are deleted by the operators;
+the rest goes with ``clean_up(spark)``, to be called when no result is open.
 """
 
 from __future__ import annotations
@@ -13,23 +18,40 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN = "tallyfold.shared.dir"
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN, None)
     if not found:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-tallyfold-")
         spark.conf.set(_OWN, found)
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    # Spark has no public call for this; it needs a session with a JVM (not a remote one)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all intermediate tables and files that this process has made; results not yet written are lost."""
+    while _MADE:
+        _delete(spark, _MADE.pop())
+
+
 class Scratch:
     """Tables of one run, below one new folder of the shared directory."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.made: list[str] = []
+        _MADE.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -38,14 +60,19 @@ class Scratch:
         """Write ``df`` as a table of this run and return it as read back."""
         schema = df.schema
         df.write.mode("overwrite").parquet(self.path(name))
+        self.made.append(name)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        """Delete tables that no later step reads; names without a table are passed over."""
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            if name in self.made:
+                _delete(self.spark, self.path(name))
+                self.made.remove(name)
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables of this run but those named."""
+        self.drop(*[n for n in self.made if n not in names])
 
 
 def small_side(df: DataFrame, rows: int, most: int) -> DataFrame:

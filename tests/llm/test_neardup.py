@@ -106,3 +106,62 @@ def test_pigeonhole_keys_meet_all_pairs_within_the_distance():
         row[at] ^= 1 + rng.integers(0, 60_000, len(at)).astype(np.uint16) % 65_535
     differ = (a != b).reshape(200, m, 4).sum(2)
     assert (differ.sum(1) <= 2 * m - 1).all() and (differ.min(1) <= 1).all()
+
+
+def boilerplate(n, common=100, own=16):
+    """Texts that share a passage and nothing else, none of them linked."""
+    return [" ".join([f"c{k}" for k in range(common)] + [f"o{i}x{k}" for k in range(own)]) for i in range(n)]
+
+
+def counted(spark, monkeypatch, texts, size=3, percent=85):
+    """(components by id, pairs of rows that meet in blocks, pairs whose sets are compared)."""
+    met, sets = [], []
+    blocks, confirm = neardup._met, neardup._confirmed
+
+    def watch(full, m, percent, scratch):
+        allowed = neardup._open_bins(full, percent)[1].collect()
+        every, few = ({(r.key, r["size"], r["share"]): r["count"] for r in rows.groupBy("key", "size", "share").count().collect()} for rows in (full, full.where("comp != main")))
+        met.append(sum(few.get((r.key, r.size_x, r.share_x), 0) * every[r.key, r.size_y, r.share_y] for r in allowed))
+        return blocks(full, m, percent, scratch)
+
+    def confirmed(pairs, *rest):
+        sets.append(pairs.count())
+        return confirm(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "_met", watch)
+    monkeypatch.setattr(neardup, "_confirmed", confirmed)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=size, percent=percent).collect()}
+    monkeypatch.undo()
+    return got, sum(met), sum(sets)
+
+
+def test_documents_that_share_a_passage_alone_do_not_meet(spark, monkeypatch):
+    for n in (150, 300):
+        got, met, sets = counted(spark, monkeypatch, boilerplate(n))
+        assert got == {i: i for i in range(n)} and met <= n and sets <= 2 * neardup.ROUNDS * neardup.HEADS * n
+    twice = [t for t in boilerplate(120) for t in (t, t + " end")]
+    got, met, _ = counted(spark, monkeypatch, twice)
+    assert got == {i: i - i % 2 for i in range(240)} and met <= 20 * 240
+
+
+def test_pairs_of_a_family_grow_with_its_size(spark, monkeypatch):
+    seen = {}
+    for n in (100, 200, 400):
+        got, _, seen[n] = counted(spark, monkeypatch, family(n, 3, words=150, most=5))
+        assert set(got.values()) == {0}
+    assert seen[400] <= 3 * neardup.ROUNDS * neardup.HEADS * 400 and seen[400] <= 6 * seen[100]
+
+
+def test_one_of_each_keeps_one_row_of_each_component(spark):
+    a, b, c = family(1, 1)[0], family(1, 2)[0], family(1, 4)[0]
+    rows = [(2, a, "x"), (5, a + " more", "x"), (5, b, "y"), (5, b, "y"), (None, c, "z"), (None, c + " more", "z"), (7, None, "n"), (7, None, "n"), (8, " ", "n"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    kept = neardup.one_of_each(docs, size=5, percent=80)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    texts = sorted([(r.doc_id is None, r.doc_id or 0, r.text or "") for r in got])
+    assert [t for t in texts if t[0]] in ([(True, 0, c)], [(True, 0, c + " more")])
+    assert [t for t in texts if not t[0]] == [(False, 2, a), (False, 5, b), (False, 7, ""), (False, 7, ""), (False, 8, " ")]
+    two = spark.createDataFrame([(3, a), (3, a + " more")], "doc_id long, text string")
+    assert neardup.one_of_each(two).count() == 1 and neardup.one_of_each(two.where("false")).count() == 0
