@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.llm import decontam, neardup, packing, secrets, toxicity
-from tallyfold.llm.shared import Scratch, small_side
+from tallyfold.llm.shared import Scratch
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,16 +21,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the one with the smallest id.
+    """One row of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the one with the smallest id.
 
-    Rows without an id stay; rows that repeat id and text are one document.
+    Of several texts under the smallest id, and of rows that are equal in id and text, one stays; a missing id
+    counts as the largest. Another text under the id of a copy is judged by itself. Rows without words stay.
     """
-    scratch = Scratch(spark, "groups")
-    found = scratch.write(neardup.near_duplicates(docs, size=5, percent=80), "found")
-    gone = scratch.write(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "gone")
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.where("doc_id IS NULL").unionByName(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))
-    return docs.join(small_side(gone, gone.count(), neardup.BROADCAST_ROWS), "doc_id", "left_anti")
+    return neardup.one_of_each(docs, size=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,11 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; the table of a stage is deleted once the next one's is written."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = scratch.write(docs, name)
+            scratch.keep(name)
     return docs
