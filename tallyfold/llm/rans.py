@@ -5,10 +5,12 @@ LANES) with a 64-bit state each, renormalised by 32-bit words. Blocks are
 independent, so any range of them can be decoded alone; here many are coded at
 once, one vector step for a token of every lane.
 
-A file is: magic, blocks, footer, trailer. A block is its lanes' final states
-followed by its words. The footer (zlib) lists the documents (id, null flag, number
-of tokens) and for each block its offset (the checkpoint), tokens, words, crc32 as
-stored and crc32 of the decoded ids. The trailer has the footer's length and crc32.
+A file is: magic, table, blocks, footer, trailer, and needs nothing else to be decoded.
+The table (zlib) lists symbols and frequencies. A block is its lanes' final states
+followed by its words. The footer (zlib) holds the crc32 and length of the table, lists
+the documents (id, null flag, number of tokens) and for each block its offset (the
+checkpoint), tokens, words, crc32 as stored and crc32 of the decoded ids. The trailer
+has the footer's length and crc32. Vocabularies of up to 2^19 symbols fit.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ LANES = 64
 BLOCK = 16_384
 #: Blocks coded at once.
 GROUP = 64
-MAGIC = b"tokrans1"
+MAGIC = b"tokrans2"
 _LOW = np.uint64(1 << 31)
 _W = np.uint64(32)
 _B = np.uint64(BITS)
@@ -43,12 +45,31 @@ class Table:
             room = (1 << BITS) - len(counts)
             freq = 1 + np.floor(counts / counts.sum() * room).astype(np.int64)
             freq[np.argmax(freq)] += (1 << BITS) - freq.sum()
+        self._scaled(freq)
+
+    def _scaled(self, freq: np.ndarray) -> None:
         self.freq = freq.astype(np.uint64)
         self.cum = (np.cumsum(freq) - freq).astype(np.uint64)
         self.slot = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
         self.place = np.full(int(self.symbols.max(initial=0)) + 1, -1, dtype=np.int32)
         self.place[self.symbols] = np.arange(len(freq))
 
+    def to_bytes(self) -> bytes:
+        steps = np.diff(self.symbols, prepend=np.uint32(0)).astype("<u4")
+        return zlib.compress(struct.pack("<I", len(steps)) + steps.tobytes() + self.freq.astype("<u4").tobytes(), 6)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Table:
+        data = zlib.decompress(data)
+        (n,) = struct.unpack_from("<I", data)
+        out = cls.__new__(cls)
+        out.symbols = np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.uint32)
+        freq = np.frombuffer(data, "<u4", n, 4 + 4 * n).astype(np.int64)
+        if n and freq.sum() != 1 << BITS:
+            raise ValueError("the frequency table is damaged")
+        out._scaled(freq)
+        return out
+
     def index(self, ids: np.ndarray) -> np.ndarray:
         """Place of each id in the table."""
         at = self.place[np.minimum(ids, len(self.place) - 1)]
@@ -109,8 +130,10 @@ class Writer:
     """One file; documents come in order."""
 
     def __init__(self, sink, table: Table):
-        self.sink, self.table, self.at = sink, table, len(MAGIC)
-        sink.write(MAGIC)
+        packed = table.to_bytes()
+        self.sink, self.table, self.at = sink, table, len(MAGIC) + len(packed)
+        self.head = struct.pack("<QI", len(packed), zlib.crc32(packed))
+        sink.write(MAGIC + packed)
         self.docs: list[tuple[int | None, int]] = []
         self.blocks: list[tuple[int, int, int, int, int]] = []
         self.held: list[np.ndarray] = []
@@ -138,27 +161,40 @@ class Writer:
         ids = np.array([d or 0 for d, _ in self.docs], "<i8").tobytes()
         none = np.array([d is None for d, _ in self.docs], np.uint8).tobytes()
         sizes = np.array([n for _, n in self.docs], "<i8").tobytes()
-        footer = zlib.compress(struct.pack("<QQ", len(self.docs), len(self.blocks)) + ids + none + sizes + np.array(self.blocks, "<u8").tobytes(), 1)
+        footer = zlib.compress(self.head + struct.pack("<QQ", len(self.docs), len(self.blocks)) + ids + none + sizes + np.array(self.blocks, "<u8").tobytes(), 1)
         self.sink.write(footer + struct.pack("<QI", len(footer), zlib.crc32(footer)) + MAGIC)
         self.sink.close()
 
 
+def write_file(sink, docs: list[tuple[int | None, np.ndarray]]) -> None:
+    """A file of documents (id, token ids) with the frequencies of their tokens as its table."""
+    symbols, counts = np.unique(np.concatenate([np.zeros(0, np.uint32), *[ids for _, ids in docs]]), return_counts=True)
+    writer = Writer(sink, Table(symbols, counts))
+    for doc_id, ids in docs:
+        writer.add(doc_id, ids)
+    writer.close()
+
+
 class Reader:
     """Documents and blocks of one file; every checksum is verified."""
 
-    def __init__(self, file, table: Table):
-        self.file, self.table = file, table
+    def __init__(self, file):
+        self.file = file
         size = file.size()
         length, crc, magic = struct.unpack("<QI8s", self._read(size - 20, 20))
         footer = self._read(size - 20 - length, length) if magic == MAGIC else b""
         if magic != MAGIC or zlib.crc32(footer) != crc:
             raise ValueError("the footer is damaged")
         data = zlib.decompress(footer)
-        n, m = struct.unpack_from("<QQ", data)
-        self.ids = np.frombuffer(data, "<i8", n, 16)
-        self.none = np.frombuffer(data, np.uint8, n, 16 + 8 * n).astype(bool)
-        self.sizes = np.frombuffer(data, "<i8", n, 16 + 9 * n)
-        self.blocks = np.frombuffer(data, "<u8", 5 * m, 16 + 17 * n).reshape(m, 5)
+        length, crc, n, m = struct.unpack_from("<QIQQ", data)
+        table, at = self._read(len(MAGIC), length), struct.calcsize("<QIQQ")
+        if zlib.crc32(table) != crc:
+            raise ValueError("the frequency table is damaged")
+        self.table = Table.from_bytes(table)
+        self.ids = np.frombuffer(data, "<i8", n, at)
+        self.none = np.frombuffer(data, np.uint8, n, at + 8 * n).astype(bool)
+        self.sizes = np.frombuffer(data, "<i8", n, at + 9 * n)
+        self.blocks = np.frombuffer(data, "<u8", 5 * m, at + 17 * n).reshape(m, 5)
 
     def _read(self, at: int, n: int) -> bytes:
         self.file.seek(at)
