@@ -48,11 +48,37 @@ def test_pieces_of_long_texts(monkeypatch):
     rng = random.Random(8)
     text = " ".join(rng.choice("ABCD") * rng.randrange(1, 4) for _ in range(900))
     items = [(str(i), text[k : k + rng.choice([9, 40, 70])]) for i, k in enumerate(range(0, 1500, 133))]
-    n, spans, found = decontam.scan(text.encode(), decontam.tables(items, 10))
+    n, spans, found = decontam.scan(text.encode(), decontam.Searches([([i], t) for i, t in items], 10))
     covered = {i for s, e in spans for i in range(s, e)}
     assert (n, len(covered), len(found)) == brute(text, items)[:3]
 
 
+def test_tables_take_little_memory():
+    import tracemalloc
+
+    rng = random.Random(3)
+    vocab = [f"word{i}" for i in range(50_000)]
+    items = [([str(i)], " ".join(rng.choice(vocab) for _ in range(200))) for i in range(600)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    searches = decontam.Searches(items, 10)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert size > 1_000_000 and held < 25 * size and peak < 60 * size
+    assert decontam.scan(("x " + items[5][1] + " y").encode(), searches)[1:] == ([(1, 201)], ["5"])
+
+
+def test_equal_items_and_shared_passages(spark):
+    rng = random.Random(5)
+    shared = " ".join(f"s{rng.randrange(9)}" for _ in range(14))
+    items = [(str(i), shared + f" own{i} tail") for i in range(40)] + [(f"e{i}", shared) for i in range(60)]
+    docs = [(1, "a " + shared + " b"), (2, shared + " own7 tail"), (3, "nothing")]
+    b = spark.createDataFrame(items, "item_id string, text string")
+    for block_bytes in (8 << 20, 300):
+        got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), b, block_bytes=block_bytes).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == {i: brute(t, items) for i, t in docs}
+
+
 def test_odd_rows_and_empty_tables(spark, odd):
     items = spark.createDataFrame([("a", "beta gamma delta epsilon zeta eta theta iota kappa lambda"), (None, "one two")], "item_id string, text string")
     got = decontam.contamination(odd, items).collect()
