@@ -1,5 +1,8 @@
 """Token attribution and license matches against plain forms."""
 
+import random
+import re
+import time
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -98,6 +101,55 @@ def test_edited_copies_and_repeats():
     assert [x[0] for x in licenses.scan(b"a public domain work", licenses.Index({"pd": "Public Domain", "none": ""}))] == ["pd"]
 
 
+def whole_alignment(text, template):
+    """(matched, first, last + 1) of the best local alignment, over all places."""
+    best, score = (0, 0, 0, 0), {}
+    for j, b in enumerate(template):
+        for i, a in enumerate(text):
+            d = score.get((i - 1, j - 1), (0, -1, 0))
+            new = (d[0] + 1, i if d[0] <= 0 else d[1], 1 if d[0] <= 0 else d[2] + 1) if a == b else (d[0] - 1, d[1], d[2])
+            for k in ((i, j - 1), (i - 1, j)):
+                o = score.get(k, (0, -1, 0))
+                new = (o[0] - 1, o[1], o[2]) if o[0] - 1 > new[0] else new
+            score[i, j] = new = new if new[0] > 0 else (0, -1, 0)
+            if new[0] > best[0]:
+                best = (*new, i + 1)
+    return best[2], best[1], best[3]
+
+
+def test_equals_whole_alignment_of_each_template():
+    index, rng = licenses.Index(licenses.TEMPLATES), random.Random(2)
+    for name, text in licenses.TEMPLATES.items():
+        words = re.findall("[a-z0-9]+", text.lower())
+        for edits in ([("", 0)], [("x", 3)], [("", len(words) // 2)], [("x", len(words) // 3), ("y z", 2 * len(words) // 3)]):
+            w = list(words)
+            for new, k in edits if len(words) > 12 else edits[:1]:
+                w[k : k + 1] = new.split() if new else [w[k]]
+            noise = [f"n{rng.randrange(50)}" for _ in range(30)]
+            w = noise[: rng.randrange(20)] + w + noise[20:]
+            template = re.findall("[a-z0-9]+", text.lower())
+            want = whole_alignment(w, template)
+            got = [x for x in licenses.scan(" ".join(w).encode(), index) if x[0] == name]
+            assert [(x[2], x[4], x[5]) for x in got] == ([want] if want[0] >= licenses.LEAST * len(template) else []), (name, edits)
+
+
+def test_one_edited_word_never_hides_a_template():
+    index = licenses.Index(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        words = re.findall("[A-Za-z0-9]+", text)
+        for k in range(len(words)):
+            edited = " ".join([*words[:k], "qqq", *words[k + 1 :]])
+            assert len(words) < 5 or any(x[0] == name for x in licenses.scan(("a b " + edited + " c").encode(), index)), (name, k)
+
+
+def test_many_repeats_take_time_in_proportion():
+    index = licenses.Index(licenses.TEMPLATES)
+    text = ((licenses.TEMPLATES["MIT"] + " and then. ") * 100_000).encode()
+    start = time.perf_counter()
+    assert sum(x[0] == "MIT" for x in licenses.scan(text, index)) == 100_000
+    assert time.perf_counter() - start < 30
+
+
 def test_license_odd_rows(odd):
     assert licenses.license_matches(odd).count() == 0 and licenses.license_matches(odd.where("false")).count() == 0
 
