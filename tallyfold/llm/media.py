@@ -7,10 +7,10 @@ never read. A payload of n bytes is padded with bytes 0 to a positive multiple o
 64 and stored as the samples of an 8-bit grey PNG image 64 wide, deflated without
 loss, with n in a text chunk. Equal payloads give equal images.
 
-Reading (``ArchiveSource``, format ``tallyfold_archive``): the driver lists archives and
-their sizes and plans ranges of ``range_bytes``; a task reads the members whose header
+Reading (``ArchiveSource``, format ``tallyfold_archive``): the driver plans ranges of
+``range_bytes`` from the archives' sizes in that table and opens none; a task reads the members whose header
 starts within its range, by the archive's directory, and hands them on as Arrow
-batches. Each member is read, and on a failed read or checksum read again from its
+batches. The directory is tried as often as a member. Each member is read, and on a failed read or checksum read again from its
 own offset up to ``attempts`` times on a new handle; what still fails ends the task
 (``on_error`` = fail) or is a row with a null payload and the error (``on_error`` = null).
 
@@ -104,8 +104,8 @@ def _store(folder: str, archive_bytes: int) -> Callable:
 
         def close() -> None:
             archive.close()
+            closed.append((uri, sink.tell(), count))
             sink.close()
-            closed.append((uri, size, count))
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
@@ -158,6 +158,17 @@ def read_member(archive: str, info: zipfile.ZipInfo, file, attempts: int, reopen
     raise OSError(f"{attempts} attempts: {last}")
 
 
+def read_directory(archive: str, attempts: int, reopen: Callable = open_input) -> list[zipfile.ZipInfo]:
+    """The members an archive lists; tries again on a new handle."""
+    for attempt in range(attempts):
+        try:
+            with reopen(archive) as file, zipfile.ZipFile(file) as z:
+                return z.infolist()
+        except (OSError, zipfile.BadZipFile) as e:
+            last = e
+    raise OSError(f"{attempts} attempts at the directory of {archive}: {last}")
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.manifest = options["path"]
@@ -171,20 +182,16 @@ class _Reader(DataSourceReader):
         out: list[InputPartition] = []
         for part in list_files(self.manifest, ".parquet"):
             with open_input(part) as f:
-                for archive in pq.read_table(f, columns=["archive"]).column(0).to_pylist():
-                    with open_input(archive) as a:
-                        size = a.size()
+                for archive, size in zip(*(c.to_pylist() for c in pq.read_table(f, columns=["archive", "bytes"]).columns)):
                     out += [Range(archive, at, min(size, at + self.range_bytes)) for at in range(0, size, self.range_bytes)]
         return out or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
             return
-        file = open_input(partition.archive)
         rows: list[tuple] = []
         size = 0
-        with zipfile.ZipFile(file) as z:
-            infos = [i for i in z.infolist() if partition.start <= i.header_offset < partition.end]
+        infos = [i for i in read_directory(partition.archive, self.attempts) if partition.start <= i.header_offset < partition.end]
         file = open_input(partition.archive)
         for info in infos:
             try:
