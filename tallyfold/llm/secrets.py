@@ -2,8 +2,9 @@
 
 Method: every text is searched for candidates; the 128-bit hash of each candidate's
 value is counted over the whole corpus by distinct owners and distinct
-repositories (pairs of owner and repository). A value held by ``widely`` owners or
-more is a copied example; any other looks like a live credential of its owner.
+repositories (pairs of owner and repository). A value is a copied example if ``widely``
+owners hold it, or two owners at least and ``many`` repositories; any other looks like a
+live credential of its owner, in however many of that owner's repositories it stands.
 
 Kinds of spans, in this order: ``assign``, ``access`` and ``hex`` are the base
 kinds and always reported; ``key`` is a run of 24 or more letters, digits, ``_`` and
@@ -83,10 +84,11 @@ def _search(names: list[str], texts_at: int) -> Callable:
     return run
 
 
-def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", widely: int = 3) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, text_hash, found.
+def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", widely: int = 3, many: int = 10) -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, owners_repos, text_hash, found.
 
-    ``found`` holds the reported spans as array<struct<s, k, e, live>>; ``text_hash`` is xxhash64 of the text.
+    ``found`` holds the reported spans as array<struct<s, k, e, live, owners, repos>>, ``owners_repos`` the two
+    counts of each as owners:repositories, comma-joined; ``text_hash`` is xxhash64 of the text.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     text = F.col(text_col).cast("string")
@@ -98,21 +100,23 @@ def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     one = found.where(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("c")).select("row", "owner", "repo", "c.*")
     owners = one.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n")).groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos")).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
-    owners = scratch.write(owners.select("hash", (F.col("owners") < widely).alias("live"), "owners", "repos"), "owners")
-    judged = one.select("row", "s", "k", "e", "hash").join(small_side(owners.select("hash", "live"), owners.count(), BROADCAST_ROWS), "hash")
-    judged = judged.where("k < 3 OR live").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e", "live"))).alias("found"))
+    live = (F.col("owners") < widely) & ((F.col("owners") < 2) | (F.col("repos") < many))
+    owners = scratch.write(owners.select("hash", live.alias("live"), "owners", "repos"), "owners")
+    judged = one.select("row", "s", "k", "e", "hash").join(small_side(owners, owners.count(), BROADCAST_ROWS), "hash")
+    judged = judged.where("k < 3 OR live").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e", "live", "owners", "repos"))).alias("found"))
     judged = scratch.write(judged, "judged")
     some = found.drop("found", "owner", "repo").join(small_side(judged, _spans(judged, "found"), BROADCAST_ROWS), "row", "left")
-    some = some.withColumn("found", F.coalesce("found", F.array().cast("array<struct<s:long,k:int,e:long,live:boolean>>")))
+    some = some.withColumn("found", F.coalesce("found", F.array().cast("array<struct<s:long,k:int,e:long,live:boolean,owners:long,repos:long>>")))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     spans = F.array_join(F.transform("found", lambda c: F.concat_ws(":", kinds[c["k"]], c["s"], c["e"])), ",")
+    counts = F.array_join(F.transform("found", lambda c: F.concat_ws(":", c["owners"], c["repos"])), ",")
     count = lambda test: F.size(F.filter("found", test)).cast("long")
 
     def of_kind(k: int) -> Callable:
         return lambda c: c["k"] == k
 
     return some.select(
-        "doc_id", *[count(of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)], "base_sha256", spans.alias("spans"), count(lambda c: c["live"]).alias("n_live"), count(lambda c: ~c["live"]).alias("n_example"), "text_hash", "found"
+        "doc_id", *[count(of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)], "base_sha256", spans.alias("spans"), count(lambda c: c["live"]).alias("n_live"), count(lambda c: ~c["live"]).alias("n_example"), counts.alias("owners_repos"), "text_hash", "found"
     )
 
 

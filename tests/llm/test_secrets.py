@@ -45,6 +45,14 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert got[10].n_live == 2 and "key:" in got[10].spans and got[11].n_live == 1
 
 
+def test_repositories_count_where_owners_are_few(spark):
+    rows = [(i, "password=sharedvalue1234 here", f"s{i % 2}") for i in range(10)] + [(20 + i, "password=onlyowner56789 here", "s0") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.secrets(docs).collect()}
+    assert (got[0].n_live, got[0].n_example, got[0].owners_repos) == (0, 1, "2:10") and (got[20].n_live, got[20].owners_repos) == (1, "1:30")
+    assert secrets.secrets(docs, many=11).where("doc_id = 0 AND n_live = 1").count() == 1
+
+
 def test_redaction(spark, odd):
     out = secrets.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
