@@ -138,14 +138,14 @@ def _none(bias: float) -> Machine:
     return Machine(np.zeros(0, np.uint32), bias, np.zeros(0), np.zeros((0, FACTORS)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Machine:
-    """A machine for ``labels`` (id, 0/1) of ``docs``; pass only the labels it may learn from."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, terms: int = TERMS, least: float = LEAST) -> Machine:
+    """A machine for ``labels`` (id, 0/1) of ``docs``; pass only the labels it may learn from. ``sample`` rows of each label and ``terms`` terms of a chi-square of ``least`` at least are used at most."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     parts = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chosen = scratch.write(parts[0].union(parts[1]), "chosen")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"])
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = scratch.write(rows, "sample")
     sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     n, ones = sum(sizes.values()), sizes.get(1, 0)
@@ -154,9 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     counts = rows.mapInArrow(_count_terms, "term long, n long, ones long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).where("n >= 4")
     cross = F.col("ones") * (n - ones) - (F.col("n") - F.col("ones")) * ones
     chi = cross.cast("double") * cross * n / (F.lit(float(ones)) * (n - ones) * F.col("n") * (n - F.col("n") + 1e-9))
-    terms = counts.withColumn("chi", chi).where(F.col("chi") >= LEAST).orderBy(F.desc("chi"), "term").limit(TERMS)
+    kept = counts.withColumn("chi", chi).where(F.col("chi") >= least).orderBy(F.desc("chi"), "term").limit(terms)
     model = _none(0.0)
-    model.terms = np.sort(np.array([r.term for r in terms.select("term").collect()], dtype=np.uint32))
+    model.terms = np.sort(np.array([r.term for r in kept.select("term").collect()], dtype=np.uint32))
     model = Machine(model.terms, 0.0, np.zeros(len(model.terms)), np.zeros((len(model.terms), FACTORS)))
     found = sorted(rows.mapInArrow(_kept_terms(model), "doc_id long, label int, at array<int>").collect())
     x, y = np.zeros((len(found), len(model.terms)), dtype=np.uint8), np.array([r.label for r in found], dtype=np.float32)
