@@ -23,7 +23,7 @@ a join. The weights are joined back to the lists (terms of more than one row in
 Defined results: null texts and texts without a letter are ``und`` with a score of 0,
 and so is every text if nothing was learned. Rows are judged one by one, so
 repeated rows and null ids give rows of their own; rows without language teach
-nothing. Other columns are not read.
+nothing. More than ``LANGUAGES`` languages are an error. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,8 +43,9 @@ from tallyfold.llm.shared import Scratch
 from tallyfold.llm.tokens import text_slices
 from tallyfold.llm.wordhash import mix
 
-WORDS = 60_000
-GRAMS = 60_000
+#: Words and n-grams that are broadcast at most; all others are tables. About 100 bytes each for every Python worker.
+WORDS = 200_000
+GRAMS = 120_000
 LONGEST = 5
 #: Languages a model may have.
 LANGUAGES = 1000
@@ -241,8 +242,8 @@ class Model:
         return langs, scores
 
 
-def fit(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """A model of all rows of ``docs`` with a language."""
+def fit(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", most_words: int | None = None, most_grams: int | None = None) -> Model:
+    """A model of all rows of ``docs`` with a language; at most ``most_words`` words and ``most_grams`` n-grams are broadcast."""
     scratch = Scratch(docs.sparkSession, "langid")
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).dropna()
     schema = "lang string, term string, n long"
@@ -254,7 +255,7 @@ def fit(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") -> M
     langs = sorted(sums)
     parts = {r.lang: r.n for r in pieces.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     out, rest = [], []
-    for table, total, most in ((counts, sums, WORDS), (pieces, parts, GRAMS)):
+    for table, total, most in ((counts, sums, WORDS if most_words is None else most_words), (pieces, parts, GRAMS if most_grams is None else most_grams)):
         scale = 2 * max(total.values(), default=0) / np.array([total[x] for x in langs], float)
         head, others = _frequent(table, most)
         out += _logs(head, langs, scale)
@@ -409,6 +410,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     lists = scanned.select("row", F.inline("terms"))
     asked = scratch.write(lists.groupBy("term").agg(F.count("*").alias("rows")), "asked")
     weights = _weights(asked, model, held, scratch)
+    scratch.keep("scanned", "asked", "weights")
     sums = _summed(_looked_up(lists, asked, weights.select("term", "cells")), "row")
     both = scanned.select("row", "doc_id", "full", "cells").join(sums, "row", "left")
     none = F.array().cast("array<struct<l: int, d: double>>")

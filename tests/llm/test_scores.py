@@ -143,3 +143,42 @@ def test_small_sample_keeps_the_prior_of_all_labels(spark):
     kept = [toxicity.reject(clean, toxicity.fit(docs, labels.where("doc_id < 1000000"), sample=k)).count() for k in (4000, 150)]
     assert kept == [2200, 2200]
     assert toxicity.reject(clean, toxicity.fit(docs, labels, sample=1500)).count() == 2200  # labels without a document do not count
+
+
+def brute_language(rows, text):
+    """(language, score) by plain dictionaries over all words and n-grams of ``rows`` (text, language)."""
+    word, gram, langs = {}, {}, sorted({x for t, x in rows if langid.words(t)})
+    for t, x in rows:
+        for w in langid.words(t):
+            word.setdefault(w, {}).setdefault(x, 0)
+            word[w][x] += 1
+            for k in range(1, langid.LONGEST + 1):
+                for g in langid.grams(w, k):
+                    gram.setdefault((k, g), {}).setdefault(x, 0)
+                    gram[k, g][x] += 1
+    weigh = []
+    for counts in (word, gram):
+        total = {x: sum(c.get(x, 0) for c in counts.values()) for x in langs}
+        weigh.append({x: 2 * max(total.values()) / total[x] for x in langs})
+    z = dict.fromkeys(langs, 0.0)
+    for w in langid.words(text):
+        found, scale = ([word[w]], weigh[0]) if w in word else ([], weigh[1])
+        for k in range(langid.LONGEST, 0, -1):
+            found = found or [gram[k, g] for g in langid.grams(w, k) if (k, g) in gram]
+        for c in found:
+            for x in langs:
+                z[x] += np.log1p(c.get(x, 0) * scale[x])
+    best = max(langs, key=lambda x: (z[x], [-ord(c) for c in x]))
+    return (best, 1 / sum(np.exp(v - z[best]) for v in z.values())) if langid.words(text) else ("und", 0.0)
+
+
+def test_predictions_equal_plain_counting(spark, docs, monkeypatch):
+    learn = docs.where("doc_id % 3 <> 1 AND lang IS NOT NULL AND length(text) < 2000")
+    rows = [(r.text, r.lang) for r in learn.collect()]
+    ask = {r.doc_id: r.text for r in docs.where("doc_id % 3 = 1 AND length(text) < 2000").limit(25).collect()} | {-1: "zzyzx qqq brrr", -2: "12", -3: None, -4: "unbekanntes wortgeflecht inconnu"}
+    want = {i: brute_language(rows, t or "") for i, t in ask.items()}
+    asked = spark.createDataFrame(list(ask.items()), "doc_id long, text string")
+    for most in (None, 300):
+        got = {r.doc_id: r for r in langid.predict(asked, langid.fit(learn, most_words=most, most_grams=most)).collect()}
+        for i, (lang, score) in want.items():
+            assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-6, i
