@@ -264,12 +264,17 @@ def _head_pairs(near: DataFrame) -> DataFrame:
 
 def _shrunk(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(t, key, cid, comp, n, alone): ``rows`` without the classes that no row of another component in their bucket can match."""
-    before = None
+    before = 0
     for turn in range(PASSES):
         open_ = scratch.write(rows.select("cid", "comp").distinct(), f"open{turn}")
-        each = sets.join(open_, "cid").select("cid", "comp", F.explode("shingles").alias("s"))
-        own = each.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo = hi").select("s")
-        alone = each.join(own, "s", "left_semi").groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
+        if turn == 0:  # many rows still: shingles of one class alone are counted without a join
+            each = sets.join(open_, "cid", "left_semi").select("cid", F.explode("shingles").alias("s"))
+            alone = each.groupBy("s").agg(F.min("cid").alias("cid"), F.max("cid").alias("last")).where("cid = last")
+        else:
+            each = sets.join(open_, "cid").select("cid", "comp", F.explode("shingles").alias("s"))
+            own = each.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo = hi").select("s")
+            alone = each.join(own, "s", "left_semi")
+        alone = alone.groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
         members = sets.join(open_, "cid", "left_semi").select("cid", F.size("shingles").cast("long").alias("n"))
         members = scratch.write(members.join(alone, "cid", "left").select("cid", "n", F.coalesce("alone", F.lit(0)).alias("alone")), f"members{turn}")
         wide = rows.select("t", "key", "cid", "comp").join(members, "cid")
@@ -279,7 +284,7 @@ def _shrunk(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
         rows = scratch.write(_mixed(kept.select("t", "key", "cid", "comp", "n", "alone")), f"shrunk{turn}")
         scratch.drop(f"open{turn}", f"members{turn}", f"shrunk{turn - 1}")
         left = rows.count()
-        if not left or before is not None and left > 0.8 * before:
+        if not left or turn and left > 0.8 * before:
             break
         before = left
     return rows
