@@ -44,8 +44,8 @@ from tallyfold.llm.tokens import text_slices
 from tallyfold.llm.wordhash import mix
 
 #: Words and n-grams that are broadcast at most; all others are tables. About 100 bytes each for every Python worker.
-WORDS = 200_000
-GRAMS = 120_000
+WORDS = 150_000
+GRAMS = 80_000
 LONGEST = 5
 #: Languages a model may have.
 LANGUAGES = 1000
@@ -130,8 +130,8 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def _frequent(counts: DataFrame, most: int) -> tuple[list[tuple[str, str, int]], DataFrame | None]:
-    """(language, term, count) of the terms with the largest total counts, at most ``most`` terms, and the counts of all others if there are any."""
+def _frequent(counts: DataFrame, most: int) -> tuple[pa.Table | None, DataFrame | None]:
+    """(lang, term, n) of the terms with the largest total counts, at most ``most`` terms, and the counts of all others if there are any."""
     totals = counts.groupBy("term").agg(F.sum("n").alias("total"))
     sizes = totals.groupBy("total").count().orderBy(F.desc("total")).limit(most + 1).collect()
     kept, least = 0, None
@@ -141,19 +141,21 @@ def _frequent(counts: DataFrame, most: int) -> tuple[list[tuple[str, str, int]],
             break
         least = r.total
     split = counts.join(totals, "term")
-    head = [] if least is None else [tuple(r) for r in split.where(F.col("total") >= least).select("lang", "term", "n").collect()]
+    head = None if least is None else split.where(F.col("total") >= least).select("lang", "term", "n").toArrow()
     if kept <= most:
         return head, None
     return head, split if least is None else split.where(F.col("total") < least)
 
 
-def _logs(rows: list[tuple[str, str, int]], langs: list[str], scale: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+def _logs(rows: pa.Table | None, langs: list[str], scale: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
     """Index of terms, and their weights (terms, languages)."""
-    at = {t: i for i, t in enumerate(sorted({r[1] for r in rows}))}
-    counts, col = np.zeros((len(at), len(langs)), dtype=float), {x: i for i, x in enumerate(langs)}
-    for lang, term, n in rows:
-        counts[at[term], col[lang]] += n
-    return at, np.log1p(counts * scale)
+    if rows is None:
+        return {}, np.zeros((0, len(langs)))
+    terms, of = (rows.column(name).combine_chunks().dictionary_encode() for name in ("term", "lang"))
+    col = np.array([langs.index(x) for x in of.dictionary.to_pylist()], np.int64)
+    counts = np.zeros((len(terms.dictionary), len(langs)))
+    np.add.at(counts, (terms.indices.to_numpy(), col[of.indices.to_numpy()]), rows.column("n").to_numpy())
+    return dict(zip(terms.dictionary.to_pylist(), range(len(counts)))), np.log1p(counts * scale)
 
 
 _CELLS = "cells array<struct<l: int, d: double>>"
