@@ -77,10 +77,14 @@ def wrapped_sum(v: Column) -> Column:
     return F.shiftleft(c, 44).bitwiseOR(F.shiftleft(b.bitwiseAND(low), 22)).bitwiseOR(a.bitwiseAND(low))
 
 
+def _exact_decimal(v: Column) -> Column:
+    a, b, c = (x.cast("decimal(38,0)") for x in _limbs(v))
+    return c * F.lit(1 << 44).cast("decimal(15,0)") + b * F.lit(1 << 22).cast("decimal(8,0)") + a
+
+
 def exact_total(v: Column) -> Column:
     """Sum of longs as a double, rounded once."""
-    a, b, c = (x.cast("decimal(38,0)") for x in _limbs(v))
-    return (c * F.lit(1 << 44).cast("decimal(15,0)") + b * F.lit(1 << 22).cast("decimal(8,0)") + a).cast("double")
+    return _exact_decimal(v).cast("double")
 
 
 def _spread(x: Column, ddof: int) -> Column:
@@ -118,7 +122,7 @@ def aggregate(agg: str, c: Column, dtype: T.DataType, opt: Options = Options())
     if kind == "time" and agg in ("mean", "std"):
         micros = F.unix_micros(c.cast("timestamp"))
         if agg == "mean":
-            total = exact_total(micros) / F.nullif(F.count(micros), F.lit(0))
+            total = _exact_decimal(micros).cast("decimal(38,0)") / F.nullif(F.count(micros), F.lit(0)).cast("decimal(19,0)")
             return F.timestamp_micros(F.round(total).cast("long"))
         return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.sqrt(_spread(micros.cast("double"), opt.ddof)) / 1e6).cast("decimal(18,6)"))
     if kind == "bool" and agg in ("min", "max", "count"):

@@ -14,12 +14,14 @@ columns. Three need more, because a group may hold a large share of all rows:
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,10 +33,28 @@ MAX_GROUP_ROWS = 5_000_000
 _FIRST, _ROW = "_first_seen", "_row"
 
 
+def _inner(keys: Sequence[str]) -> list[str]:
+    """Names that the keys have inside a plan, so that no name of the caller meets one used here."""
+    return [f"_key{i}" for i in range(len(keys))]
+
+
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _shared_checkpoints(spark: SparkSession) -> None:
+    """See to it that checkpoints have a folder that all executors see."""
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and spark.conf.get("spark.master", "").split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-tallyfold-"))
+
+
 def _order_column(df: DataFrame, order_by: str | Column | None) -> Column:
     """What says which row came first: a given column, or the place in the files that ``df`` was read from."""
     if order_by is not None:
-        return F.col(order_by) if isinstance(order_by, str) else order_by
+        return _column(order_by) if isinstance(order_by, str) else order_by
     place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
     try:
         df.select(place)
@@ -57,11 +77,7 @@ def _middle_by_rank(rows: DataFrame, keys: list[str]) -> DataFrame:
     counts = rows.where(F.col("_value").isNotNull()).groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
     parts = counts.repartitionByRange(*keys, "_value").withColumn("_part", F.spark_partition_id())
     parts = parts.select(*keys, "_part", "_value", "_n")
-    spark = rows.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tallyfold-"))
+    _shared_checkpoints(rows.sparkSession)
     parts = parts.checkpoint()
     sums = parts.groupBy(*keys, "_part").agg(F.sum("_n").alias("_here"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,16 +113,20 @@ def _wrapped_products(rows: DataFrame, keys: list[str]) -> DataFrame:
             yield pd.concat(held).groupby(keys, sort=False, dropna=False, as_index=False)["_value"].prod()
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+        """Rows come sorted by key, so all but the last key of a batch are finished."""
+        carry = None
         for f in frames:
-            total = f if total is None else pd.concat([total, f])
-            total = total.groupby(keys, sort=False, dropna=False, as_index=False)["_value"].prod()
-        if total is not None:
-            yield total
+            f = f if carry is None else pd.concat([carry, f])
+            made = f.groupby(keys, sort=False, dropna=False, as_index=False)["_value"].prod()
+            carry = made.iloc[-1:]
+            if len(made) > 1:
+                yield made.iloc[:-1]
+        if carry is not None:
+            yield carry
 
     schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("_value", T.LongType())])
     rows = rows.withColumn("_value", F.coalesce("_value", F.lit(1).cast("long")))
-    return rows.mapInPandas(multiply, schema).repartition(*keys).mapInPandas(finish, schema)
+    return rows.mapInPandas(multiply, schema).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(finish, schema)
 
 
 def _needs_own_plan(agg: str, kind: str, strict: bool) -> bool:
@@ -135,7 +155,8 @@ def groupby_agg(
 
     ``sort``: True for ascending keys, False for order of first appearance (by ``order_by``
     or the place in the source files; a row counts even if its value is missing), None
-    for no order. ``dropna`` leaves out rows with a missing key. ``keep_first`` names a column
+    for no order. ``median`` and the forms in row order count their largest group when this
+    is called, which is a job; all else runs with the result. ``dropna`` leaves out rows with a missing key. ``keep_first`` names a column
     for the order value of each group's first row. Empty input gives an empty result of the same schema.
     """
     keys = key_list(by)
@@ -145,38 +166,39 @@ def groupby_agg(
     strict = strict_order and kind == "float" and agg in ("sum", "mean", "prod", "std", "var")
     own = _needs_own_plan(agg, kind, strict)
     ordered = sort is False or keep_first is not None
-    columns = [F.col(k) for k in keys] + [F.col(target).alias("_target")]
+    names = _inner(keys)
+    columns = [_column(k).alias(n) for k, n in zip(keys, names)] + [_column(target).alias("_target")]
     if ordered or strict or kind == "string" and agg == "sum":
         columns.append(_order_column(df, order_by).alias(_ROW))
-    rows = _with_keys(df.select(*columns), keys, dropna)
+    rows = _with_keys(df.select(*columns), names, dropna)
     extra = [F.min(_ROW).alias(_FIRST)] if ordered else []
     c = F.col("_target")
     if not own:
-        out = rows.groupBy(*keys).agg(A.aggregate(agg, c, dtype, opt).alias("_out"), *extra)
+        out = rows.groupBy(*names).agg(A.aggregate(agg, c, dtype, opt).alias("_out"), *extra)
     else:
         x = A.present(c, kind)
         if kind == "time":
             x = F.unix_micros(c.cast("timestamp"))
         if strict or kind == "string":
-            if _largest(rows, keys) > max_group_rows:
+            if _largest(rows, names) > max_group_rows:
                 raise ValueError(f"a group has more than {max_group_rows} rows; fold it without strict order")
             pairs = F.collect_list(F.struct(F.col(_ROW).alias("order"), x.alias("value")))
             made = F.concat_ws("", F.transform(F.sort_array(pairs), lambda p: p["value"])) if kind == "string" else A.ordered_fold(agg, pairs)
-            out = rows.groupBy(*keys).agg(A.guarded(agg, made, c, x, kind, opt).alias("_out"), *extra)
+            out = rows.groupBy(*names).agg(A.guarded(agg, made, c, x, kind, opt).alias("_out"), *extra)
         elif agg == "median":
-            big = _largest(rows, keys) > max_group_rows
+            big = _largest(rows, names) > max_group_rows
             made = A.middle(F.sort_array(F.collect_list(x))) if not big else None
-            out = _joined(rows, keys, c, x, kind, opt, agg, extra, made, _middle_by_rank)
+            out = _joined(rows, names, c, x, kind, opt, agg, extra, made, _middle_by_rank)
             if kind == "time":
                 out = out.withColumn("_out", F.timestamp_micros(F.round("_out").cast("long")))
         else:
-            out = _joined(rows, keys, c, x, kind, opt, agg, extra, None, _wrapped_products)
+            out = _joined(rows, names, c, x, kind, opt, agg, extra, None, _wrapped_products)
     if sort is False:
         out = out.orderBy(_FIRST)
     elif sort:
-        out = out.orderBy(*keys)
+        out = out.orderBy(*names)
     first = [F.col(_FIRST).alias(keep_first)] if keep_first else []
-    return out.select(*keys, F.col("_out").alias(target), *first)
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], F.col("_out").alias(target), *first)
 
 
 def _joined(rows, keys, c, x, kind, opt, agg, extra, made, build) -> DataFrame:
@@ -213,10 +235,11 @@ class GroupedColumn:
     def transform(self, agg: str, **options) -> DataFrame:
         """All rows with their group's aggregate in a column ``{target}_{agg}``; rows with a missing key get NULL."""
         f, name = self.frame, f"{self.target}_{agg}"
-        values = self.agg(agg, **{"sort": None, **options}).withColumnRenamed(self.target, name)
-        keys = [k.alias(f"_k{i}") for i, k in enumerate(F.col(k) for k in f.by)]
-        values = values.select(*keys, name)
-        return f.df.join(values, [f.df[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(f.by)], "left").select(*[f.df[c] for c in f.df.columns], name)
+        values = self.agg(agg, **{"sort": None, **options})
+        own = [f"_{uuid.uuid4().hex[:12]}" for _ in (*f.by, name)]
+        values = values.toDF(*own)
+        same = [f.df[k].eqNullSafe(F.col(n)) for k, n in zip(f.by, own)]
+        return f.df.join(values, same, "left").select(*[f.df[c] for c in f.df.columns], F.col(own[-1]).alias(name))
 
 
 class GroupedColumns:
@@ -249,15 +272,22 @@ class GroupedFrame:
         types = {(t, a): check(self.df, self.by, t, a, most_keys=None) for t, a, _ in wanted}
         single = [w for w in wanted if _needs_own_plan(w[1], A.kind_of(types[w[:2]]), False)]
         plain = [w for w in wanted if w not in single]
-        rows = _with_keys(self.df, self.by, self.dropna)
-        extra = [F.min(_order_column(self.df, self.order_by)).alias(_FIRST)] if self.sort is False else []
-        out = rows.groupBy(*self.by).agg(F.count(F.lit(1)).alias("_rows"), *extra, *[A.aggregate(a, F.col(t), types[t, a], opt).alias(f"_{n}") for t, a, n in plain])
-        for t, a, n in single:
-            one = groupby_agg(self.df, self.by, t, a, sort=None, dropna=self.dropna, order_by=self.order_by, most_keys=None, **options)
-            one = one.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.by)], F.col(t).alias(f"_{n}"))
-            out = out.join(one, [out[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(self.by)], "left").drop(*[f"_k{i}" for i in range(len(self.by))])
-        out = out.orderBy(*([_FIRST] if self.sort is False else self.by if self.sort else [])) if self.sort is not None else out
-        return out.select(*self.by, *[F.col(f"_{n}").alias(n) for _, _, n in wanted])
+        keys = _inner(self.by)
+        inside = {t: f"_target{i}" for i, t in enumerate(what)}
+        columns = [*[_column(k).alias(n) for k, n in zip(self.by, keys)], *[_column(t).alias(n) for t, n in inside.items()]]
+        in_order = self.sort is False or any(A.kind_of(types[w[:2]]) == "string" for w in single)
+        if in_order:
+            columns.append(_order_column(self.df, self.order_by).alias(_ROW))
+        rows = _with_keys(self.df.select(*columns), keys, self.dropna)
+        extra = [F.min(_ROW).alias(_FIRST)] if self.sort is False else []
+        at = {w: f"_out{i}" for i, w in enumerate(wanted)}
+        out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *extra, *[A.aggregate(w[1], F.col(inside[w[0]]), types[w[:2]], opt).alias(at[w]) for w in plain])
+        for w in single:
+            one = groupby_agg(rows, keys, inside[w[0]], w[1], sort=None, dropna=False, order_by=_ROW if in_order else None, most_keys=None, **options)
+            one = one.toDF(*[f"_same{i}" for i in range(len(keys))], at[w])
+            out = out.join(one, [out[k].eqNullSafe(F.col(f"_same{i}")) for i, k in enumerate(keys)], "left").drop(*[f"_same{i}" for i in range(len(keys))])
+        out = out.orderBy(*([_FIRST] if self.sort is False else keys)) if self.sort is not None else out
+        return out.select(*[F.col(n).alias(k) for k, n in zip(self.by, keys)], *[F.col(at[w]).alias(w[2]) for w in wanted])
 
     def size(self) -> DataFrame:
         """Rows of each group, missing values included."""
@@ -274,6 +304,12 @@ class GroupedFrame:
     def __repr__(self) -> str:
         return f"GroupedFrame(by={self.by}, sort={self.sort}, dropna={self.dropna})"
 
+    def __len__(self) -> int:
+        return self.ngroups()
+
+    def __dir__(self) -> list[str]:
+        return sorted({*super().__dir__(), *self.df.columns})
+
 
 def attach() -> None:
     """Give DataFrames a method ``grouped(by, ...)``; calling it again changes nothing."""

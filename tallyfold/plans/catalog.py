@@ -64,6 +64,8 @@ class Query:
         made = [F.expr(e).alias(n) for n, e in self.columns.items()]
         if made:
             df = df.select("*", *made)
+        if self.where == "WHERE false":
+            df = df.where("false")
         result = groupby_agg(df, self.keys, self.value, self.agg, **self.options)
         return result.select(*self.keys, *[F.col(c) for c in result.columns if c not in (*self.keys, self.value)], self._rounded(F.col(self.value)).alias(self.out))
 
@@ -100,13 +102,14 @@ def _built() -> dict[str, Query]:
             made[f"{agg}_i64_{shape}_unordered"] = Query("lineitem", keys, "n", agg, "int", number, {"sort": None}, rounded)
         made[f"nan_{agg}_f64"] = Query("lineitem", ["l_orderkey"], "v", agg, "float", _nan_value("l_quantity"), digits=rounded)
         first = {"sort": False, "order_by": "event_id", "keep_first": "first_seen"}
-        cents = {"x": "CAST(round(value) AS DOUBLE)", "k": "CAST(round(value) AS BIGINT)"}
-        exact = 3 if agg in ("mean", "std", "var") else None
+        cents = {"x": "CAST(value AS DOUBLE)", "k": "CAST(round(value) AS BIGINT)"}
+        exact = 3 if agg in ("mean", "std", "var") else 4 if agg == "sum" else None
         if agg != "prod":
             made[f"firstseen_{agg}_f64_single"] = Query("events", ["user_id"], "x", agg, "float", cents, first, exact)
             made[f"firstseen_{agg}_f64_multi"] = Query("events", ["user_id", "event_type"], "x", agg, "float", cents, first, exact)
-        made[f"firstseen_{agg}_i64_single"] = Query("events", ["user_id"], "k", agg, "int", cents, first, exact)
-        made[f"firstseen_{agg}_i64_multi"] = Query("events", ["user_id", "event_type"], "k", agg, "int", cents, first, exact)
+        whole = 3 if agg in ("mean", "std", "var") else None
+        made[f"firstseen_{agg}_i64_single"] = Query("events", ["user_id"], "k", agg, "int", cents, first, whole)
+        made[f"firstseen_{agg}_i64_multi"] = Query("events", ["user_id", "event_type"], "k", agg, "int", cents, first, whole)
     order = {"sort": False, "order_by": "event_id", "keep_first": "first_seen"}
     made["firstseen_prod_f64_single"] = Query("events", ["user_id"], "x", "prod", "float", {"x": "CASE WHEN event_id % 2 = 0 THEN CAST(2.0 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END"}, order, sql="coalesce(product(x), 1.0)")
     made["keys3_sum"] = Query("lineitem", ["l_returnflag", "l_linestatus", "l_linenumber"], "l_quantity", "sum", "float")
@@ -122,6 +125,13 @@ def _built() -> dict[str, Query]:
     made["bool_value_max"] = Query("lineitem", ["l_suppkey"], "b", "max", "bool", {"b": "l_quantity > 49"}, sql="bool_or(b)")
     made["time_value_min"] = Query("events", ["user_id"], "ts", "min", "time")
     made["time_value_max"] = Query("events", ["user_id"], "ts", "max", "time")
+    made["time_value_mean"] = Query("events", ["user_id"], "ts", "mean", "time", sql="make_timestamp(CAST(round(avg(epoch_us(ts) - 1600000000000000)) AS BIGINT) + 1600000000000000)")
+    made["negative_keys_sum"] = Query("lineitem", ["k"], "l_quantity", "sum", "float", {"k": "CASE WHEN l_suppkey % 3 = 0 THEN CAST(-9223372036854775807 AS BIGINT) + l_suppkey ELSE CAST(-l_suppkey AS BIGINT) END"})
+    made["nullable_int_sum"] = Query("lineitem", ["l_orderkey"], "v", "sum", "int", {"v": "CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE CAST(l_partkey AS BIGINT) END"})
+    made["nullable_int_max"] = Query("lineitem", ["l_suppkey"], "v", "max", "int", {"v": "CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE CAST(l_partkey AS BIGINT) END"})
+    made["keys11_sum"] = Query("lineitem", [f"k{i}" for i in range(11)], "l_quantity", "sum", "float", {f"k{i}": f"l_partkey % {i + 2}" for i in range(11)}, {"most_keys": None})
+    made["inner_names_median"] = Query("lineitem", ["_out", "_part"], "l_quantity", "median", "float", {"_out": "l_suppkey % 7", "_part": "l_linenumber"})
+    made["empty_input_sum"] = Query("lineitem", ["l_suppkey"], "e", "sum", "float", {"e": "l_quantity"}, where="WHERE false")
     made["uint64_sum"] = Query("lineitem", ["l_suppkey"], "u", "sum", "decimal", {"u": "CAST(l_partkey AS DECIMAL(20,0))"}, sql="CAST(sum(u) AS BIGINT)", cast="bigint")
     made["dropna_key"] = Query("lineitem", ["k"], "l_quantity", "sum", "float", {"k": "CASE WHEN l_linenumber = 2 THEN NULL ELSE l_suppkey END"}, where="WHERE k IS NOT NULL")
     made["keepna_key"] = Query("lineitem", ["k"], "l_quantity", "sum", "float", {"k": "CASE WHEN l_linenumber = 2 THEN NULL ELSE CAST(l_suppkey AS STRING) END"}, {"dropna": False})
@@ -160,12 +170,10 @@ def _dataset_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _firstseen_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-seen order from the place in the source file, shown as the rank of each group."""
-    from pyspark.sql import Window
-
+    """First-seen order from the place in the source file, shown as the row in which each group comes first."""
     df = _table(spark, sf_dir, "lineitem")
     out = groupby_agg(df, "l_suppkey", "l_quantity", "sum", sort=False, keep_first="seen")
-    return out.select("l_suppkey", F.row_number().over(Window.orderBy("seen")).cast("long").alias("place"), F.col("l_quantity").alias("result"))
+    return out.select("l_suppkey", F.col("seen.row_index").alias("first_row"), F.col("l_quantity").alias("result"))
 
 
 _OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
@@ -183,8 +191,7 @@ _OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     ),
     "firstseen_file_order": (
         _firstseen_files,
-        "SELECT l_suppkey, row_number() OVER (ORDER BY first) AS place, q AS result FROM (SELECT l_suppkey, min(r) AS first, sum(l_quantity) AS q FROM "
-        "(SELECT *, row_number() OVER () AS r FROM lineitem) GROUP BY 1)",
+        "SELECT l_suppkey, min(r) - 1 AS first_row, sum(l_quantity) AS result FROM (SELECT *, row_number() OVER () AS r FROM lineitem) GROUP BY 1",
     ),
 }
 

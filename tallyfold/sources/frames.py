@@ -24,7 +24,8 @@ def from_pandas(spark: SparkSession, pdf: pd.DataFrame, *, row: str | None = "ri
         elif isinstance(t, pd.CategoricalDtype):
             plain[c] = pdf[c].astype(object).where(pdf[c].notna(), None)
     df = spark.createDataFrame(plain)
-    return df.select(*[F.col(c).cast(casts[c]).alias(c) if c in casts else F.col(c) for c in plain.columns])
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in plain.columns}
+    return df.select(*[quoted[c].cast(casts[c]).alias(c) if c in casts else quoted[c] for c in plain.columns])
 
 
 def to_series(result: DataFrame, target: str) -> pd.Series:

@@ -57,19 +57,37 @@ def test_first_seen_order(mixed, agg):
         pd.testing.assert_series_equal(to_series(groupby_agg(df, by, "v", agg, sort=False, order_by="rid"), "v"), want, rtol=1e-10)
 
 
-def test_first_seen_contract_in_hex(spark):
+def test_first_seen_order_counts_missing_values(spark):
     nan = float("nan")
-    pdf = pd.DataFrame({"key": [5, 2, 5, 4, 2, 7, 8, 8, 1], "val": [1, nan, 3, nan, 5, 11, 2, 2, nan]})
+    pdf = pd.DataFrame({"key": [30, 10, 30, 20, 10, 40], "val": [nan, 6.0, 1.5, nan, 2.0, 7.0]})
     df = from_pandas(spark, pdf).repartition(4)
-    want = {"std": [float.fromhex("0x1.6a09e667f3bcdp+0"), nan, nan, nan, 0.0, nan], "var": [2.0, nan, nan, nan, 0.0, nan], "median": [2.0, 5.0, nan, 11.0, 2.0, nan]}
+    want = {"std": [nan, np.sqrt(8.0), nan, nan], "var": [nan, 8.0, nan, nan], "median": [1.5, 4.0, nan, 7.0], "sum": [1.5, 8.0, 0.0, 7.0]}
     for agg, values in want.items():
         got = to_series(groupby_agg(df, "key", "val", agg, sort=False, order_by="rid"), "val")
-        assert list(got.index) == [5, 2, 4, 7, 8, 1]
+        assert list(got.index) == [30, 10, 20, 40]
         np.testing.assert_array_equal(got.to_numpy(), values)
-    pdf = pd.DataFrame({"k1": [2, 1, 2, 1, 2, 3, 1], "k2": [9, 8, 9, 7, 8, 7, 8], "val": [1.0, 2, 3, 4, 5, 6, 7]})
-    got = to_series(groupby_agg(from_pandas(spark, pdf).repartition(3), ["k1", "k2"], "val", "std", sort=False, order_by="rid"), "val")
-    assert list(got.index) == [(2, 9), (1, 8), (1, 7), (2, 8), (3, 7)]
-    np.testing.assert_array_equal(got.to_numpy(), [float.fromhex("0x1.6a09e667f3bcdp+0"), float.fromhex("0x1.c48c6001f0ac0p+1"), nan, nan, nan])
+
+
+INNER = ["_out", "_part", "_to", "_n", "_value", "_target", "_target0", "_row", "_rows", "_first_seen", "_ok", "_total", "_here", "_before", "_lo", "_hi", "_key0", "_key1", "_k0", "_same0", "_out0", "a.b"]
+
+
+@pytest.mark.parametrize("names", [INNER[i : i + 2] for i in range(0, len(INNER), 2)], ids="-".join)
+def test_keys_may_have_any_name(spark, names):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({names[0]: rng.integers(0, 4, 60), names[1]: rng.integers(0, 3, 60), "v": rng.integers(1, 9, 60)})
+    df = from_pandas(spark, pdf, row="rid").repartition(3)
+    want = lambda agg, sort=True: expected(pdf, names, "v", agg, sort=sort)
+    for agg in ("sum", "median", "prod", "std"):
+        pd.testing.assert_series_equal(to_series(groupby_agg(df, names, "v", agg), "v"), want(agg), rtol=1e-10)
+    pd.testing.assert_series_equal(to_series(groupby_agg(df, names, "v", "median", max_group_rows=0), "v"), want("median"))
+    pd.testing.assert_series_equal(to_series(groupby_agg(df, names, "v", "max", sort=False, order_by="rid"), "v"), want("max", False))
+    if "." not in names[1]:
+        got = GroupedFrame(df, names).agg({"v": ["sum", "prod", "median"]})
+        assert got.columns == [*names, "v_sum", "v_prod", "v_median"]
+        for agg in ("sum", "prod", "median"):
+            np.testing.assert_array_equal(got.toPandas()[f"v_{agg}"].to_numpy(), want(agg).to_numpy())
+        moved = GroupedFrame(df, names)["v"].transform("sum").toPandas().sort_values("rid")
+        np.testing.assert_array_equal(moved["v_sum"].to_numpy(), pdf.groupby(names)["v"].transform("sum").to_numpy())
 
 
 def test_integer_sum_and_product_wrap(spark):

@@ -17,7 +17,10 @@ def test_generate_is_seeded(spark):
     assert generate(spark, 10, {"k": 2}, value_type="long").schema["value"].dataType.simpleString() == "bigint"
     with pytest.raises(ValueError):
         generate(spark, 1, {"k": 1}, value_type="text")
-    assert len(PRESETS) == 14
+    assert len(PRESETS) == 14 and PRESETS["quick_3key"] == (1_000_000, {"k1": 100, "k2": 50, "k3": 20})
+    for n in (180, 200, 220):
+        rows, keys = PRESETS[f"threshold_{n}k"]
+        assert rows == 5_000_000 and len(keys) * keys["k1"] * keys["k2"] == n * 1000
 
 
 def test_describe(spark):
