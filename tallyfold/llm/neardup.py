@@ -218,34 +218,43 @@ def _scattered(x: Column) -> Column:
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(v, label): the smallest node reachable from each node of ``edges`` (a, b); nodes without edges are not listed.
 
-    Smallest-neighbour propagation with pointer jumping; each round is one table in the shared folder.
+    An edge offers the smaller label of its ends to both ends and both labels, and labels jump
+    to their own label; each round is one table in the shared folder and one shuffle of offers,
+    besides the joins with the labels, which are broadcast up to ``BROADCAST_ROWS`` nodes.
     """
-    both = scratch.write(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}_edges")
-    labels = scratch.write(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")), f"{name}_0")
+    edges = scratch.write(edges.select("a", "b"), f"{name}_edges")
+    first = edges.select(F.explode(F.array("a", "b")).alias("v"), F.least("a", "b").alias("label"))
+    labels = scratch.write(first.groupBy("v").agg(F.min("label").alias("label")), f"{name}_0")
+    nodes = labels.count()
+
+    def looked_up(key: str, found: str) -> DataFrame:
+        return small_side(labels.select(F.col("v").alias(key), F.col("label").alias(found)), nodes, BROADCAST_ROWS)
+
     for turn in range(1, 200):
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        up = labels.select(F.col("v").alias("label"), F.col("label").alias("up"))
-        step = labels.join(up, "label").join(near, "v").select("v", F.least("up", "near").alias("label"), (F.least("up", "near") != F.col("label")).alias("moved"))
-        step = scratch.write(step, f"{name}_{turn}")
+        ends = edges.join(looked_up("a", "of_a"), "a").join(looked_up("b", "of_b"), "b").where("of_a != of_b")
+        offers = ends.select(F.explode(F.array("a", "b", "of_a", "of_b")).alias("v"), F.least("of_a", "of_b").alias("label"), F.lit(None).cast("long").alias("old"))
+        jumps = labels.join(looked_up("label", "up"), "label").select("v", F.col("up").alias("label"), F.col("label").alias("old"))
+        step = jumps.union(offers).groupBy("v").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        step = scratch.write(step.select("v", "label", (F.col("label") != F.col("old")).alias("moved")), f"{name}_{turn}")
         moved = step.where("moved").limit(1).count()
         scratch.drop(f"{name}_{turn - 1}")
         labels = step.select("v", "label")
         if not moved:
+            scratch.drop(f"{name}_edges")
             return labels
     raise RuntimeError("the components did not settle in 200 rounds")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; the set of a ``b`` in many pairs is dealt out to groups of ``SPREAD`` pairs."""
-    groups = F.ceil(F.col("pairs") / SPREAD).cast("int")
-    hot = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") > SPREAD).select("b", groups.alias("groups"))
-    hot = small_side(hot, hot.count(), BROADCAST_ROWS)
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold; the set of a ``b`` in many pairs is dealt out to groups of ``SPREAD`` pairs, and sets in no pair are not shuffled."""
+    heads = scratch.write(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("groups")), f"heads_{name}")
+    heads = small_side(heads, heads.count(), BROADCAST_ROWS)
     left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")).join(hot, "b", "left").withColumn("group", F.explode(F.sequence(F.lit(0), F.coalesce("groups", F.lit(1)) - 1)))
-    pairs = pairs.join(hot, "b", "left").withColumn("group", F.pmod(F.xxhash64("a"), F.coalesce("groups", F.lit(1))).cast("int"))
+    right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")).join(heads, "b").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    dealt = pairs.join(heads, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("group"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
-    pairs = pairs.select("a", "b", "group").join(left, "a").join(right.select("b", "group", "y"), ["b", "group"])
-    return pairs.select("a", "b", both.alias("k"), (F.size("x") + F.size("y") - both).alias("u")).where(100 * F.col("k") >= percent * F.col("u")).select("a", "b")
+    met = left.join(small_side(dealt, pairs.count(), BROADCAST_ROWS), "a").join(right.select("b", "group", "y"), ["b", "group"])
+    return met.select("a", "b", both.alias("k"), (F.size("x") + F.size("y") - both).alias("u")).where(100 * F.col("k") >= percent * F.col("u")).select("a", "b")
 
 
 def _near_heads(rows: DataFrame, order: Column) -> DataFrame:
@@ -334,22 +343,29 @@ def linked(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_co
     several = scratch.write(several, "several")
     buckets = scratch.write(_keys(classes, m).join(small_side(several, several.count(), BROADCAST_ROWS), ["t", "key"]), "buckets")
     central = buckets.groupBy("cid").agg(F.sum("rows").alias("weight"))
-    inside = scratch.write(central.join(classes, "cid").select("cid", "weight", "rep", "set_hi", "set_lo"), "inside")
+    inside = scratch.write(central.join(classes, "cid").select("cid", "weight", "rep", "set_hi", "set_lo", "n", "sig"), "inside")
+    many = inside.count()
 
     # full sets of the classes in them
     wanted = inside.select(F.col("rep").alias("doc_id")).distinct()
-    near = texts.alias("t").join(small_side(wanted, inside.count(), BROADCAST_ROWS).alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
+    near = texts.alias("t").join(small_side(wanted, many, BROADCAST_ROWS).alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
     found = near.select("doc_id", "text").mapInArrow(_full_sets(size), "set_hi long, set_lo long, shingles array<long>, bits binary")
-    sets = found.join(inside, ["set_hi", "set_lo"]).select("cid", "shingles", "bits")
+    sets = found.join(small_side(inside.select("cid", "set_hi", "set_lo"), many, BROADCAST_ROWS), ["set_hi", "set_lo"]).select("cid", "shingles", "bits")
     sets = scratch.write(sets.dropDuplicates(["cid"]) if repeated(sketch) else sets, "sets")
 
-    info = classes.select("cid", "n", "sig")
+    info = inside.select("cid", "n", "sig")
 
     def described(df: DataFrame, name: str) -> DataFrame:
         return df.join(info.select(F.col("cid").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}")), name)
 
     rows = buckets.join(inside.select("cid", "weight"), "cid").select("t", "key", "cid", F.col("cid").alias("comp"), "weight")
-    links = comp = None
+    comp = None
+
+    def joined_up(more: DataFrame, name: str) -> DataFrame:
+        """Components of the links so far: those before stand for the links that made them."""
+        edges = more if comp is None else more.union(comp.where("v != label").select("v", "label"))
+        return components(spark, edges, scratch, name)
+
     for turn in range(ROUNDS):
         # weights are rows of buckets, 4 m times the number of classes at most
         order = F.shiftleft("weight", 16).bitwiseOR(F.col("cid").bitwiseAND(F.lit(0xFFFF))) if turn == 0 else F.col("cid").bitwiseXOR(F.lit(_ORDERS[turn - 1]))
@@ -357,14 +373,13 @@ def linked(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_co
         pairs = described(described(_head_pairs(near), "a"), "b")
         fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
         pairs = scratch.write(pairs.where(fit & (_distance(F.col("sig_a"), F.col("sig_b"), m) <= 2 * m - 1)).select("a", "b"), f"pairs{turn}")
-        more = scratch.write(_confirmed(pairs, sets, percent), f"links{turn}")
+        more = scratch.write(_confirmed(pairs, sets, percent, scratch, f"{turn}"), f"links{turn}")
         scratch.drop("buckets", "several", f"near{turn - 1}", f"pairs{turn}")
         found = more.limit(1).count()
-        links = more if links is None else links.union(more)
         if found:
-            comp = components(spark, links, scratch, f"comp{turn}")
-        if comp is None:
-            comp = links.select(F.col("a").alias("v"), F.col("b").alias("label"))
+            comp = joined_up(more, f"comp{turn}")
+        elif comp is None:
+            comp = more.select(F.col("a").alias("v"), F.col("b").alias("label"))
         rows = near.select("t", "key", "cid").join(comp.withColumnRenamed("v", "cid"), "cid", "left").select("t", "key", "cid", F.coalesce("label", "cid").alias("comp"))
         if not found:
             break
@@ -375,9 +390,9 @@ def linked(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_co
         rows = _shrunk(rows, sets, percent, scratch)
         kept = rows.select("cid").distinct().join(info.select("cid", "sig"), "cid").join(sets.select("cid", "bits"), "cid")
         full = scratch.write(_binned(rows, percent), "binned").join(scratch.write(kept, "partners"), "cid")
-        more = scratch.write(_confirmed(scratch.write(_met(full, m, percent, scratch), "met"), sets, percent), "links")
+        more = scratch.write(_confirmed(scratch.write(_met(full, m, percent, scratch), "met"), sets, percent, scratch, "last"), "links")
         if more.limit(1).count():
-            comp = components(spark, links.union(more), scratch, "last")
+            comp = joined_up(more, "last")
 
     label = F.coalesce("label", "cid")
     classed = scratch.write(classes.select("cid", "set_hi", "set_lo", "rep").join(comp.withColumnRenamed("v", "cid"), "cid", "left").select("set_hi", "set_lo", "rep", label.alias("label")), "classed")
