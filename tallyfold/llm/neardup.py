@@ -271,11 +271,15 @@ def _head_pairs(near: DataFrame) -> DataFrame:
     return met.select("a", "b", most.alias("most"), least.alias("least")).where(F.least("most", "least") <= HEADS).select("a", "b")
 
 
-def _shrunk(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(t, key, cid, comp, n, alone): ``rows`` without the classes that no row of another component in their bucket can match."""
+def _shrunk(rows: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(t, key, cid, comp, n, alone): ``rows`` without the classes that no row of another component in their bucket can match; ``sizes`` holds (cid, n).
+
+    Sets are not shuffled while the open classes are few enough to broadcast, only their shingles are.
+    """
     before = 0
     for turn in range(PASSES):
         open_ = scratch.write(rows.select("cid", "comp").distinct(), f"open{turn}")
+        open_ = small_side(open_, open_.count(), BROADCAST_ROWS)
         if turn == 0:  # many rows still: shingles of one class alone are counted without a join
             each = sets.join(open_, "cid", "left_semi").select("cid", F.explode("shingles").alias("s"))
             alone = each.groupBy("s").agg(F.min("cid").alias("cid"), F.max("cid").alias("last")).where("cid = last")
@@ -284,7 +288,7 @@ def _shrunk(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
             own = each.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo = hi").select("s")
             alone = each.join(own, "s", "left_semi")
         alone = alone.groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
-        members = sets.join(open_, "cid", "left_semi").select("cid", F.size("shingles").cast("long").alias("n"))
+        members = sizes.join(open_, "cid", "left_semi")
         members = scratch.write(members.join(alone, "cid", "left").select("cid", "n", F.coalesce("alone", F.lit(0)).alias("alone")), f"members{turn}")
         wide = rows.select("t", "key", "cid", "comp").join(members, "cid")
         least = wide.groupBy("key").agg(F.min("alone").alias("least"))
@@ -387,7 +391,7 @@ def linked(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_co
     # buckets that hold more than one component
     rows = scratch.write(_mixed(rows), "mixed")
     if rows.limit(1).count():
-        rows = _shrunk(rows, sets, percent, scratch)
+        rows = _shrunk(rows, sets, info.select("cid", "n"), percent, scratch)
         kept = rows.select("cid").distinct().join(info.select("cid", "sig"), "cid").join(sets.select("cid", "bits"), "cid")
         full = scratch.write(_binned(rows, percent), "binned").join(scratch.write(kept, "partners"), "cid")
         more = scratch.write(_confirmed(scratch.write(_met(full, m, percent, scratch), "met"), sets, percent, scratch, "last"), "links")
