@@ -46,6 +46,8 @@ class Options:
     min_count: int | None = None
     ddof: int = 1
     wrap_overflow: bool = True
+    #: Mean of times: None is exact; else the mean, as a double, of the microseconds since this number of them.
+    time_origin: int | None = None
 
 
 def present(c: Column, kind: str) -> Column:
@@ -82,9 +84,11 @@ def _exact_decimal(v: Column) -> Column:
     return c * F.lit(1 << 44).cast("decimal(15,0)") + b * F.lit(1 << 22).cast("decimal(8,0)") + a
 
 
-def exact_total(v: Column) -> Column:
-    """Sum of longs as a double, rounded once."""
-    return _exact_decimal(v).cast("double")
+def exact_mean(v: Column) -> Column:
+    """Mean of longs as a decimal of 18 digits behind the point, NULL without values; as a double it is rounded once."""
+    total, n = _exact_decimal(v).cast("decimal(38,0)"), F.nullif(F.count(v), F.lit(0)).cast("decimal(19,0)")
+    rest = (total % n).cast("decimal(19,0)")
+    return ((total - rest) / n).cast("decimal(19,0)") + rest / n
 
 
 def _spread(x: Column, ddof: int) -> Column:
@@ -108,7 +112,7 @@ def _reduced(agg: str, x: Column, kind: str, opt: Options) -> Column:
         return F.coalesce(wrapped_sum(x) if opt.wrap_overflow else F.sum(x), F.lit(0).cast("long"))
     if agg == "mean":
         if kind in ("int", "bool"):
-            return F.coalesce(exact_total(x) / F.nullif(F.count(x), F.lit(0)), nan())
+            return F.coalesce(exact_mean(x).cast("double"), nan())
         return F.coalesce(F.avg(x).cast("double"), nan())
     if agg == "prod":
         return F.coalesce(F.product(x.cast("double")), F.lit(1.0))
@@ -122,8 +126,10 @@ def aggregate(agg: str, c: Column, dtype: T.DataType, opt: Options = Options())
     if kind == "time" and agg in ("mean", "std"):
         micros = F.unix_micros(c.cast("timestamp"))
         if agg == "mean":
-            total = _exact_decimal(micros).cast("decimal(38,0)") / F.nullif(F.count(micros), F.lit(0)).cast("decimal(19,0)")
-            return F.timestamp_micros(F.round(total).cast("long"))
+            if opt.time_origin is None:
+                return F.timestamp_micros(F.round(exact_mean(micros)).cast("long"))
+            origin = F.lit(opt.time_origin).cast("long")
+            return F.timestamp_micros(F.round(exact_mean(micros - origin).cast("double")).cast("long") + origin)
         return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.sqrt(_spread(micros.cast("double"), opt.ddof)) / 1e6).cast("decimal(18,6)"))
     if kind == "bool" and agg in ("min", "max", "count"):
         x = c

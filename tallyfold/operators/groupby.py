@@ -150,6 +150,7 @@ def groupby_agg(
     max_group_rows: int = MAX_GROUP_ROWS,
     most_keys: int | None = MOST_KEYS,
     keep_first: str | None = None,
+    time_origin: int | None = None,
 ) -> DataFrame:
     """Key columns and the aggregate, named like ``target``; one row per group.
 
@@ -157,12 +158,13 @@ def groupby_agg(
     or the place in the source files; a row counts even if its value is missing), None
     for no order. ``median`` and the forms in row order count their largest group when this
     is called, which is a job; all else runs with the result. ``dropna`` leaves out rows with a missing key. ``keep_first`` names a column
-    for the order value of each group's first row. Empty input gives an empty result of the same schema.
+    for the order value of each group's first row. ``time_origin`` takes the mean of times as a
+    double of the microseconds since then, as engines that average doubles do; without it, it is exact. Empty input gives an empty result of the same schema.
     """
     keys = key_list(by)
     dtype = check(df, keys, target, agg, most_keys=most_keys)
     kind = A.kind_of(dtype)
-    opt = A.Options(skipna, min_count, ddof, wrap_overflow)
+    opt = A.Options(skipna, min_count, ddof, wrap_overflow, time_origin)
     strict = strict_order and kind == "float" and agg in ("sum", "mean", "prod", "std", "var")
     own = _needs_own_plan(agg, kind, strict)
     ordered = sort is False or keep_first is not None
