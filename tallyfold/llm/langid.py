@@ -32,6 +32,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain, filterfalse
 
 import numpy as np
@@ -49,8 +50,11 @@ GRAMS = 80_000
 LONGEST = 5
 #: Languages a model may have.
 LANGUAGES = 1000
-#: Entries that a task counts before it hands them on; unseen words a worker remembers.
+#: Entries that a task counts before it hands them on; unseen words a worker remembers, and those a scan numbers before it starts anew.
 HELD = 400_000
+NUMBERED = 100_000
+#: Bytes of texts that are split into words at once; about 30 bytes of words and arrays for each of them.
+SLICE = 1 << 20
 #: A term of more than this part of the rows of a join is broadcast, not shuffled.
 HOT = 1000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -82,10 +86,11 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held[lang].update(words(text))
-        if sum(map(len, held.values())) > HELD:
-            yield from out()
+        for lo, hi in text_slices(batch.column(1), SLICE):
+            for lang, text in zip(*(batch.column(k).slice(lo, hi - lo).to_pylist() for k in (0, 1))):
+                held[lang].update(words(text))
+            if sum(map(len, held.values())) > HELD:
+                yield from out()
     yield from out()
 
 
@@ -185,11 +190,19 @@ class Model:
     left: tuple[str, str] | None = None
 
     def __post_init__(self):
-        self.orders = [{g[1:]: i for g, i in self.gram_at.items() if g[0] == str(k)} for k in range(LONGEST, 0, -1)]
         self._forget()
 
+    @cached_property
+    def orders(self) -> list[dict[str, int]]:
+        """Index of the n-grams of each order, the longest first."""
+        return [{g[1:]: i for g, i in self.gram_at.items() if g[0] == str(k)} for k in range(LONGEST, 0, -1)]
+
+    def __reduce__(self):
+        # workers make what follows from the counts themselves, and only what they use
+        return Model, (self.langs, self.word_at, self.word_log, self.gram_at, self.gram_log, self.left)
+
     def _forget(self) -> None:
-        self.seen: dict[str, int] = dict(self.word_at)
+        self.seen: dict[str, int] = {} if self.left else dict(self.word_at)
         self.table = self.word_log
 
     def unseen(self, new: list[str]) -> np.ndarray:
@@ -272,9 +285,8 @@ def fit(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", most
 def _predict(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in text_slices(batch.column(1)):
-                langs, scores = model.value.predict(texts[lo:hi])
+            for lo, hi in text_slices(batch.column(1), SLICE):
+                langs, scores = model.value.predict(batch.column(1).slice(lo, hi - lo).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     return run
@@ -297,10 +309,9 @@ def _scan(model) -> Callable:
         seen, names, most = dict(m.word_at), [], len(m.word_at)
         table = np.concatenate([m.word_log, np.zeros((1, len(m.langs)))])
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for lo, hi in text_slices(batch.column(2)):
-                found = [words(t) for t in texts[lo:hi]]
-                if len(names) > HELD:
+            for lo, hi in text_slices(batch.column(2), SLICE):
+                found = [words(t) for t in batch.column(2).slice(lo, hi - lo).to_pylist()]
+                if len(names) > NUMBERED:
                     seen, names = dict(m.word_at), []
                 new = set()
                 for x in found:
