@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyfold.llm import neardup
@@ -165,3 +167,17 @@ def test_one_of_each_keeps_one_row_of_each_component(spark):
     assert [t for t in texts if not t[0]] == [(False, 2, a), (False, 5, b), (False, 7, ""), (False, 7, ""), (False, 8, " ")]
     two = spark.createDataFrame([(3, a), (3, a + " more")], "doc_id long, text string")
     assert neardup.one_of_each(two).count() == 1 and neardup.one_of_each(two.where("false")).count() == 0
+
+
+def test_hashing_words_holds_little_of_a_batch():
+    """Sketches and full sets of 8 MB of texts need under 60 MB in a worker, whatever the size of the Arrow batch."""
+    rng = random.Random(9)
+    texts = pa.array([" ".join(f"w{rng.randrange(9999)}" for _ in range(330)) for _ in range(4000)])
+    ids = pa.array(range(len(texts)))
+    m = neardup.chunk_count(80, 1e-6)
+    for run, columns in ((neardup._sketch(5, m), [ids, texts, ids]), (neardup._full_sets(5), [ids, texts])):
+        tracemalloc.start()
+        rows = sum(len(b) for b in run(iter([pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "text_hash"][: len(columns)])])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == len(texts) and most < 60e6
