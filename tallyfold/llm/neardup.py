@@ -30,7 +30,8 @@ Method
 
 Rows never meet in one task: buckets are joined by key (skewed keys are split by
 adaptive execution), sums are pre-aggregated, and intermediate tables live in
-the shared folder.
+the shared folder. The driver plans and keeps every query of a run, so tables are
+counted while they are written and steps without pairs are left out.
 
 Defined results: null and empty texts and texts of white space alone have no
 shingle and are linked with nothing (``component_id`` is their own id). A row
@@ -224,8 +225,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: st
     """
     edges = scratch.write(edges.select("a", "b"), f"{name}_edges")
     first = edges.select(F.explode(F.array("a", "b")).alias("v"), F.least("a", "b").alias("label"))
-    labels = scratch.write(first.groupBy("v").agg(F.min("label").alias("label")), f"{name}_0")
-    nodes = labels.count()
+    labels, nodes = scratch.counted(first.groupBy("v").agg(F.min("label").alias("label")), f"{name}_0")
 
     def looked_up(key: str, found: str) -> DataFrame:
         return small_side(labels.select(F.col("v").alias(key), F.col("label").alias(found)), nodes, BROADCAST_ROWS)
@@ -235,8 +235,8 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: st
         offers = ends.select(F.explode(F.array("a", "b", "of_a", "of_b")).alias("v"), F.least("of_a", "of_b").alias("label"), F.lit(None).cast("long").alias("old"))
         jumps = labels.join(looked_up("label", "up"), "label").select("v", F.col("up").alias("label"), F.col("label").alias("old"))
         step = jumps.union(offers).groupBy("v").agg(F.min("label").alias("label"), F.max("old").alias("old"))
-        step = scratch.write(step.select("v", "label", (F.col("label") != F.col("old")).alias("moved")), f"{name}_{turn}")
-        moved = step.where("moved").limit(1).count()
+        step = step.select("v", "label", (F.col("label") != F.col("old")).alias("moved"))
+        step, moved = scratch.counted(step, f"{name}_{turn}", F.count_if("moved"))
         scratch.drop(f"{name}_{turn - 1}")
         labels = step.select("v", "label")
         if not moved:
@@ -245,15 +245,14 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: st
     raise RuntimeError("the components did not settle in 200 rounds")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; the set of a ``b`` in many pairs is dealt out to groups of ``SPREAD`` pairs, and sets in no pair are not shuffled."""
-    heads = scratch.write(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("groups")), f"heads_{name}")
-    heads = small_side(heads, heads.count(), BROADCAST_ROWS)
+def _confirmed(pairs: DataFrame, rows: int, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b), ``rows`` of them, whose full sets reach the threshold; the set of a ``b`` in many pairs is dealt out to groups of ``SPREAD`` pairs, and sets in no pair are not shuffled."""
+    heads = small_side(*scratch.counted(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("groups")), f"heads_{name}"), BROADCAST_ROWS)
     left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")).join(heads, "b").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     dealt = pairs.join(heads, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("group"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
-    met = left.join(small_side(dealt, pairs.count(), BROADCAST_ROWS), "a").join(right.select("b", "group", "y"), ["b", "group"])
+    met = left.join(small_side(dealt, rows, BROADCAST_ROWS), "a").join(right.select("b", "group", "y"), ["b", "group"])
     return met.select("a", "b", both.alias("k"), (F.size("x") + F.size("y") - both).alias("u")).where(100 * F.col("k") >= percent * F.col("u")).select("a", "b")
 
 
@@ -278,8 +277,7 @@ def _shrunk(rows: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, sc
     """
     before = 0
     for turn in range(PASSES):
-        open_ = scratch.write(rows.select("cid", "comp").distinct(), f"open{turn}")
-        open_ = small_side(open_, open_.count(), BROADCAST_ROWS)
+        open_ = small_side(*scratch.counted(rows.select("cid", "comp").distinct(), f"open{turn}"), BROADCAST_ROWS)
         if turn == 0:  # many rows still: shingles of one class alone are counted without a join
             each = sets.join(open_, "cid", "left_semi").select("cid", F.explode("shingles").alias("s"))
             alone = each.groupBy("s").agg(F.min("cid").alias("cid"), F.max("cid").alias("last")).where("cid = last")
@@ -294,9 +292,8 @@ def _shrunk(rows: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, sc
         least = wide.groupBy("key").agg(F.min("alone").alias("least"))
         fit = 100 * (F.col("n") - F.col("alone")) >= percent * (F.col("n") + F.col("least"))
         kept = wide.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")).join(least, "key").where(fit)
-        rows = scratch.write(_mixed(kept.select("t", "key", "cid", "comp", "n", "alone")), f"shrunk{turn}")
+        rows, left = scratch.counted(_mixed(kept.select("t", "key", "cid", "comp", "n", "alone")), f"shrunk{turn}")
         scratch.drop(f"open{turn}", f"members{turn}", f"shrunk{turn - 1}")
-        left = rows.count()
         if not left or turn and left > 0.8 * before:
             break
         before = left
@@ -344,11 +341,10 @@ def linked(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_co
 
     # buckets that hold more than one class
     several = _keys(classes, m).groupBy("t", "key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    several = scratch.write(several, "several")
-    buckets = scratch.write(_keys(classes, m).join(small_side(several, several.count(), BROADCAST_ROWS), ["t", "key"]), "buckets")
+    several = small_side(*scratch.counted(several, "several"), BROADCAST_ROWS)
+    buckets = scratch.write(_keys(classes, m).join(several, ["t", "key"]), "buckets")
     central = buckets.groupBy("cid").agg(F.sum("rows").alias("weight"))
-    inside = scratch.write(central.join(classes, "cid").select("cid", "weight", "rep", "set_hi", "set_lo", "n", "sig"), "inside")
-    many = inside.count()
+    inside, many = scratch.counted(central.join(classes, "cid").select("cid", "weight", "rep", "set_hi", "set_lo", "n", "sig"), "inside")
 
     # full sets of the classes in them
     wanted = inside.select(F.col("rep").alias("doc_id")).distinct()
@@ -376,26 +372,26 @@ def linked(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_co
         near = scratch.write(_near_heads(rows, order), f"near{turn}")
         pairs = described(described(_head_pairs(near), "a"), "b")
         fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        pairs = scratch.write(pairs.where(fit & (_distance(F.col("sig_a"), F.col("sig_b"), m) <= 2 * m - 1)).select("a", "b"), f"pairs{turn}")
-        more = scratch.write(_confirmed(pairs, sets, percent, scratch, f"{turn}"), f"links{turn}")
+        pairs, some = scratch.counted(pairs.where(fit & (_distance(F.col("sig_a"), F.col("sig_b"), m) <= 2 * m - 1)).select("a", "b"), f"pairs{turn}")
+        more, found = scratch.counted(_confirmed(pairs, some, sets, percent, scratch, f"{turn}"), f"links{turn}") if some else (None, 0)
         scratch.drop("buckets", "several", f"near{turn - 1}", f"pairs{turn}")
-        found = more.limit(1).count()
         if found:
             comp = joined_up(more, f"comp{turn}")
         elif comp is None:
-            comp = more.select(F.col("a").alias("v"), F.col("b").alias("label"))
+            comp = spark.range(0).select(F.col("id").alias("v"), F.col("id").alias("label"))
         rows = near.select("t", "key", "cid").join(comp.withColumnRenamed("v", "cid"), "cid", "left").select("t", "key", "cid", F.coalesce("label", "cid").alias("comp"))
         if not found:
             break
 
     # buckets that hold more than one component
-    rows = scratch.write(_mixed(rows), "mixed")
-    if rows.limit(1).count():
+    rows, left = scratch.counted(_mixed(rows), "mixed")
+    if left:
         rows = _shrunk(rows, sets, info.select("cid", "n"), percent, scratch)
         kept = rows.select("cid").distinct().join(info.select("cid", "sig"), "cid").join(sets.select("cid", "bits"), "cid")
         full = scratch.write(_binned(rows, percent), "binned").join(scratch.write(kept, "partners"), "cid")
-        more = scratch.write(_confirmed(scratch.write(_met(full, m, percent, scratch), "met"), sets, percent, scratch, "last"), "links")
-        if more.limit(1).count():
+        pairs, some = scratch.counted(_met(full, m, percent, scratch), "met")
+        more, found = scratch.counted(_confirmed(pairs, some, sets, percent, scratch, "last"), "links") if some else (None, 0)
+        if found:
             comp = joined_up(more, "last")
 
     label = F.coalesce("label", "cid")
@@ -430,9 +426,9 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         worded = F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
         docs = docs.where(~worded).unionByName(docs.where(worded).dropDuplicates([id_col, text_col]))
     own = [f"_{uuid.uuid4().hex[:12]}_{c}" for c in ("id", "hash")]
-    gone = scratch.write(gone.select(F.col("doc_id").alias(own[0]), F.col("text_hash").alias(own[1])).distinct(), "gone")
+    gone = small_side(*scratch.counted(gone.select(F.col("doc_id").alias(own[0]), F.col("text_hash").alias(own[1])).distinct(), "gone"), BROADCAST_ROWS)
     same = F.col(id_col).cast("long").eqNullSafe(F.col(own[0])) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(own[1]))
-    return docs.join(small_side(gone, gone.count(), BROADCAST_ROWS), same, "left_anti")
+    return docs.join(gone, same, "left_anti")
 
 
 _MEMBER = ("cid", "comp", "main", "n", "alone", "sig", "bits")

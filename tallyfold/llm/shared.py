@@ -15,7 +15,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN = "tallyfold.shared.dir"
 _MADE: list[str] = []
@@ -63,6 +64,12 @@ class Scratch:
         self.made.append(name)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def counted(self, df: DataFrame, name: str, rows: Column | None = None) -> tuple[DataFrame, int]:
+        """``write`` and the number of rows (or the sum that ``rows`` gives), taken while they are written, without a query of its own."""
+        seen = Observation()
+        table = self.write(df.observe(seen, (F.count(F.lit(1)) if rows is None else rows).alias("rows")), name)
+        return table, seen.get["rows"]
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads; names without a table are passed over."""
         for name in names:

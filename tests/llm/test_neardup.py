@@ -7,8 +7,10 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tallyfold.llm import neardup
+from tallyfold.llm.shared import Scratch
 
 
 def brute(rows, size, percent):
@@ -69,6 +71,19 @@ def test_large_blocks_meet_in_parts(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 85)
 
 
+def test_tables_are_counted_as_they_are_written(spark, monkeypatch):
+    """Each query of its own stays in the driver's memory; one at most is left for counts, whatever the number of rounds."""
+    counts, count = [], type(spark.range(1)).count
+    monkeypatch.setattr(type(spark.range(1)), "count", lambda df: counts.append(1) or count(df))
+    rows = list(enumerate(family(60, 5) + family(40, 6, most=14)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 85) and len(counts) <= 1
+    scratch = Scratch(spark, "counted")
+    table, n = scratch.counted(spark.range(1000).repartition(7), "some")
+    assert n == count(table) == 1000 and scratch.counted(table.where("id < 0"), "none")[1] == 0
+    assert scratch.counted(table, "odd", F.count_if(F.col("id") % 2 == 1))[1] == 500 and scratch.counted(spark.range(0), "empty", F.count_if(F.col("id") > 0))[1] == 0
+
+
 def test_odd_rows(odd):
     got = neardup.near_duplicates(odd, size=3, percent=85).collect()
     assert len(got) == odd.count()
